@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import chat_windows, line_dedup, order_minhash, quality_llr, raking
+from flowquarry.llm import chat_windows, line_dedup, order_minhash, quality_llr, raking, spec_bpe, sstable, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = sstable.write_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return sstable.read_shards(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs, counts=True)
@@ -29,6 +39,19 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.digest(chat_windows.read_back(spark, path))
 
 
+def op5_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(spec_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def bpe_digest(encoded: DataFrame) -> DataFrame:
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality_llr.fit(docs, _table(spark, sf_dir, "labels"))
@@ -94,8 +117,11 @@ def mix_sql(docs: str, sweeps: int = 10) -> tuple[str, str]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_shards": op1_token_shards,
+        "op2_token_count": op2_token_count,
         "op3_line_dedup": op3_line_dedup,
         "op4_chat_windows": op4_chat_windows,
+        "op5_speculative_bpe": op5_speculative_bpe,
         "op7_quality_llr": op7_quality_llr,
         "op8_mix_sources": op8_mix_sources,
         "op9_order_minhash": op9_order_minhash,
@@ -105,6 +131,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     ctes, mixed = mix_sql("documents")
     return {
+        "op1_token_shards": op1_token_shards,
+        "op2_token_count": op2_token_count,
         "op3_line_dedup": _OP3,
         "op8_mix_sources": f"WITH {ctes}\nSELECT doc_id, source, lang, topic, n_tokens, rate, kept FROM {mixed}",
     }
