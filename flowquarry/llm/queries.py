@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import chat_windows, line_dedup, order_minhash, quality_llr, raking, spec_bpe, sstable, token_count
+from flowquarry.llm import chat_windows, jaccard_join, line_dedup, order_minhash, quality_llr, raking, spec_bpe, sstable, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_documents(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 _OP3 = """
 WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 pos AS (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM lines WHERE len(l) >= 3),
@@ -115,6 +119,20 @@ def mix_sql(docs: str, sweeps: int = 10) -> tuple[str, str]:
     return ",\n".join(parts), "mixed"
 
 
+def jaccard_sql(docs: str, k: int, percent: int) -> str:
+    """CTEs that end in `linked` (doc_id, n_shingles, component_id) over the relation docs."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    blank = f"translate({lower}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ')"
+    return f"""jw AS (SELECT doc_id, list_filter(string_split({blank}, ' '), lambda w: w <> '') AS ws FROM {docs}),
+js AS (SELECT doc_id, CASE WHEN len(ws) >= {k} THEN list_distinct(list_transform(range(1, len(ws) - {k} + 2), lambda i: array_to_string(ws[i:i + {k} - 1], ' ')))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM jw),
+jx AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM js),
+je AS (SELECT a.doc_id AS u, b.doc_id AS v FROM jx a JOIN jx b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+  HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))),
+jr AS (SELECT doc_id AS a, doc_id AS b FROM js UNION SELECT jr.a, je.v FROM jr JOIN je ON jr.b = je.u),
+linked AS (SELECT js.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id FROM js JOIN (SELECT a, min(b) AS c FROM jr GROUP BY a) ON a = js.doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_shards": op1_token_shards,
@@ -125,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_llr": op7_quality_llr,
         "op8_mix_sources": op8_mix_sources,
         "op9_order_minhash": op9_order_minhash,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
@@ -134,5 +153,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_token_shards": op1_token_shards,
         "op2_token_count": op2_token_count,
         "op3_line_dedup": _OP3,
+        "op10_jaccard_join": f"WITH RECURSIVE {jaccard_sql('documents', 3, 90)}\nSELECT doc_id, n_shingles, component_id FROM linked",
         "op8_mix_sources": f"WITH {ctes}\nSELECT doc_id, source, lang, topic, n_tokens, rate, kept FROM {mixed}",
     }
