@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm import chat_windows, jaccard_join, line_dedup, order_minhash, quality_llr, raking, spec_bpe, sstable, token_count
+from flowquarry.llm import chat_windows, jaccard_join, line_dedup, order_minhash, quality_llr, raking, spec_bpe, sstable, suffix_dedup, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def bpe_digest(encoded: DataFrame) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.kept_digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op7_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality_llr.fit(docs, _table(spark, sf_dir, "labels"))
@@ -140,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_chat_windows": op4_chat_windows,
         "op5_speculative_bpe": op5_speculative_bpe,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_quality_llr": op7_quality_llr,
         "op8_mix_sources": op8_mix_sources,
         "op9_order_minhash": op9_order_minhash,
