@@ -87,6 +87,7 @@ def _dashed(codes: Column, digits: int) -> Column:
 
 def ja3(fp: Column) -> Column:
     """FP19: version, suites, extension types, groups and point formats of a TLS fingerprint, in decimal."""
+    fp = F.when(F.startswith(fp, F.lit("(")), F.concat(F.lit("tls/"), fp)).otherwise(fp)
     version = F.conv(F.regexp_extract(fp, r"\(([0-9a-f]{4})\)", 1), 16, 10)
     ext = extensions(fp)
 
@@ -94,7 +95,7 @@ def ja3(fp: Column) -> Column:
         found = F.get(F.filter(ext, lambda x: F.startswith(x, F.lit(kind))), F.lit(0))
         return F.coalesce(F.substring(found, skip + 1, 1 << 20), F.lit(""))
 
-    groups = pairs16(body("000a", 12))
+    groups = pairs16(body("000a", 8))
     points = F.regexp_extract_all(body("000b", 10), F.lit("([0-9a-f]{2})"), F.lit(1))
     kinds = F.transform(ext, lambda x: F.substring(x, 1, 4))
     return F.concat_ws(",", version, _dashed(pairs16(ciphersuites(fp)), 4), _dashed(kinds, 4), _dashed(groups, 4), _dashed(points, 2))

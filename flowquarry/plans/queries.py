@@ -166,8 +166,8 @@ def fp_well_formed(spark, sf_dir):
 
 @query(
     "fp_ja3",
-    f"""{FLOW} SELECT event_id, CASE WHEN event_type = 'view' THEN '771,4865-' || (4864 + user_id % 5) || ',0-10-11,23,0' ELSE '771,49195-' || (49184 + user_id % 5) || ',0-23-65281,,' END AS ja3,
-  md5(CASE WHEN event_type = 'view' THEN '771,4865-' || (4864 + user_id % 5) || ',0-10-11,23,0' ELSE '771,49195-' || (49184 + user_id % 5) || ',0-23-65281,,' END) AS ja3_hash
+    f"""{FLOW} SELECT event_id, CASE WHEN event_type = 'view' THEN '771,4865-' || (4864 + user_id % 5) || ',0-10-11,2-23,0' ELSE '771,49195-' || (49184 + user_id % 5) || ',0-23-65281,,' END AS ja3,
+  md5(CASE WHEN event_type = 'view' THEN '771,4865-' || (4864 + user_id % 5) || ',0-10-11,2-23,0' ELSE '771,49195-' || (49184 + user_id % 5) || ',0-23-65281,,' END) AS ja3_hash
 FROM flow WHERE event_type IN ('view', 'purchase')""",
 )
 def fp_ja3(spark, sf_dir):
