@@ -139,20 +139,23 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     )
     keys = base.select("k", "h", F.floor(F.length("text") / 3).cast("int").alias("need")).groupBy("k", "h").agg(F.max("need").alias("need"))
     nexts = next_keys(keys, ["k", "h"])
-    marked = base.withColumn("sig", signature(F.col("text"))).repartition(cluster_partitions(docs.sparkSession), "k", "h")
+    # both joins read this one exchange: it has the same columns in both, and no lambda in it, so that it is reused
+    dealt = base.repartition(cluster_partitions(docs.sparkSession), "k", "h")
     wanted = nexts.select(F.col("k").alias("to_k"), F.col("h").alias("to_h"), "need", F.col("__fq_next_k").alias("k"), F.col("__fq_next_h").alias("h"))
     donors = (
-        marked.join(wanted, ["k", "h"])
-        .select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.expr("substring(text, 1, need)").alias("tail"), F.col("sig").alias("next_sig"))
+        dealt.join(wanted, ["k", "h"])
+        .select(
+            F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.col("doc_id").alias("next_id"),
+            F.expr("substring(text, 1, need)").alias("tail"), signature(F.col("text")).alias("next_sig"),
+        )
         .dropDuplicates(["k", "h"])
     )
-    n = F.length("text")
-    joined = marked.join(donors, ["k", "h"]).select(
-        "doc_id", n.cast("long").alias("n_chars"), "sig", "next_sig",
+    joined = dealt.join(donors, ["k", "h"]).select(
+        "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), signature(F.col("text")).alias("sig"), "next_sig",
         F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.col("tail")).alias("edited"),
     )
     done = joined.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sig", "next_sig", signature(F.col("edited")).alias("edited_sig")
+        "doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sig", "next_sig", signature(F.col("edited")).alias("edited_sig")
     )
     return done.select(
         "doc_id", "n_chars", "edited_sha256",
@@ -160,4 +163,5 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
         as_string(F.col("edited_sig")).alias("edited_fingerprint"),
         likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
         likeness(F.col("sig"), F.col("next_sig")).alias("near_next"),
+        "next_id",
     )
