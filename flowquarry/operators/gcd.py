@@ -113,9 +113,9 @@ def weak_moduli(moduli: DataFrame, blocks: int = 16) -> DataFrame:
 
 
 def factor_groups(moduli: DataFrame, blocks: int = 16) -> DataFrame:
-    """(factor, lines): which lines share a factor; the factor with its order by value."""
-    shared = shared_factors(moduli, blocks)
-    rows = shared.select("factor", F.explode(F.array("line", "other")).alias("line")).distinct()
+    """(factor, lines): the lines of the moduli that have a factor; one that divides another has itself."""
+    weak = weak_moduli(moduli, blocks)
+    rows = weak.select("line", F.explode(F.array_distinct(F.array("p", "q"))).alias("factor")).filter("factor <> '1'")
     own = rows.groupBy("factor").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     return own.withColumn("digits", F.length("factor"))
 

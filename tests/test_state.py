@@ -75,3 +75,52 @@ def test_gcd_report(spark):
     ]
     got = report([format(p, "x"), format(p * q, "x")])
     assert got[0] == f"Modulus on line 1 divides another modulus: {p:x}" and got[-1] == "1,2"
+
+
+def test_gcd_small_numbers(spark):
+    """Moduli 1 to 9, zero, and 9 again."""
+    from flowquarry.operators import gcd
+
+    df = spark.createDataFrame([(i + 1, x) for i, x in enumerate("1234567890")] + [(11, "9")], "line long, hex string")
+    assert gcd.report(gcd.read_moduli(df), 3) == [
+        "Zero modulus ignored: line 10", "Modulus on line 2 divides another modulus: 2", "Modulus on line 3 divides another modulus: 3",
+        "Vulnerable modulus on line 4: 4 has factors 2 and 2", "Vulnerable modulus on line 6: 6 has factors 2 and 3",
+        "Vulnerable modulus on line 8: 8 has factors 2 and 4", "Vulnerable modulus on line 9: 9 has factors 3 and 3", "2,4,6,8;3,6,9",
+    ]
+
+
+def test_ciphers_and_quic_keys():
+    """Published vectors of AES-128, GCM and the Initial keys."""
+    from flowquarry.parse import aes, quic
+
+    keys = quic.client_keys(1, bytes.fromhex("8394c8f03e515708"))
+    assert [k.hex() for k in keys] == ["1f369613dd76d5467730efcbe3b1a22d", "fa044b2f42a3fd3b46fb255c", "9f50449e04a0e810283a1e9933adedd2"]
+    a = aes.Aes(bytes(range(16)))
+    c = a.encrypt(bytes.fromhex("00112233445566778899aabbccddeeff"))
+    assert c.hex() == "69c4e0d86a7b0430d8cdb78070b4c55a" and a.decrypt(c).hex() == "00112233445566778899aabbccddeeff"
+    g = aes.Aes(bytes(16))
+    sealed = g.counter(bytes(16), bytes(12))
+    assert (sealed.hex(), g.tag(sealed, bytes(12), b"").hex()) == ("0388dace60b6a392f328c2b971b2fe78", "ab6e47d42cec13bdf53a67b21257bddf")
+
+
+def test_quic_round_trip():
+    """A hello sealed by hand is opened, and a changed byte is noticed."""
+    from flowquarry.parse import quic
+    from flowquarry.parse.aes import Aes
+
+    message = hello()[5:]
+    frames = b"\x06" + b"\x00" + (0x4000 | len(message)).to_bytes(2, "big") + message
+    frames += bytes(1162 - len(frames))
+    dcid = b"12345678"
+    key, iv, hp = quic.client_keys(1, dcid)
+    length = len(frames) + 2 + 16
+    head = b"\xc1\0\0\0\1" + b"\x08" + dcid + b"\0\0" + (0x4000 | length).to_bytes(2, "big")
+    number = b"\0\7"
+    nonce = bytes(a ^ b for a, b in zip(iv, bytes(10) + number))
+    sealed = Aes(key).counter(frames, nonce)
+    sealed += Aes(key).tag(sealed, nonce, head + number)
+    mask = Aes(hp).encrypt((number + sealed)[4:20])
+    packet = bytes([head[0] ^ mask[0] & 15]) + head[1:] + bytes(a ^ b for a, b in zip(number, mask[1:])) + sealed
+    got = quic.parse_initial(packet)
+    assert got["server_name"] == "a.example" and got["fingerprint"].startswith("quic/(00000001)(0303)(0a0a1301c02b)[(0000)")
+    assert quic.parse_initial(packet[:200] + b"x" + packet[201:]) is None
