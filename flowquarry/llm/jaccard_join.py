@@ -13,8 +13,11 @@ links make components. Then only pairs of one bucket whose components differ are
 them that the filters leave are verified. Pairs inside a component need no check: they change no
 component. No bucket has a cap.
 
-Sizes: the order is a fixed table of CELLS bytes, summed from the tasks' compressed counts; postings
-are rows (shingle, document, position, size). Joins are on shingles or identifiers and can be split
+A shingle that is alone in its cell is in no other document. A set of which too much is alone is left
+out, and the part that is alone tightens the bound on the overlap of a pair.
+
+Sizes: the order is a fixed table of two bits for each cell, summed from the tasks' compressed
+counts; postings are rows (shingle, document, position, size). Joins are on shingles or identifiers and can be split
 by adaptive execution; the two sides of a pair meet as texts only for candidates.
 
 Defined results: null and empty texts, and texts without words, have size 0 and link with nothing;
@@ -39,9 +42,11 @@ from flowquarry.llm.components import components
 from flowquarry.llm.shingles import shingle_sets
 from flowquarry.llm.spec_bpe import pieces
 
-CELL_BITS = 24
-SLICES = 16
+CELL_BITS = 27
+SLICES = 32
 PARTS = 32
+#: Least count of levels 1, 2 and 3. A cell of level 0 holds one shingle of one document.
+LEVELS = (2, 4, 64)
 
 
 def _need(n: int, percent: int) -> int:
@@ -58,66 +63,81 @@ def _set_key(shingles: np.ndarray) -> bytes:
 
 
 def shingle_ranks(docs: DataFrame, k: int) -> bytes:
-    """For each cell of the shingle hash range, about 8 log2 of the number of (document, shingle) in it."""
+    """For each cell of the shingle hash range the level of its number of (document, shingle), two bits each."""
     cells = 1 << CELL_BITS
+    step = cells // SLICES
+
+    def packed(places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The cells that occur, as differences, with their counts up to 255."""
+        at, n = np.unique(np.concatenate(places), return_counts=True)
+        n = np.minimum(n, 255).astype(np.uint8)
+        pack = zstandard.ZstdCompressor(level=1)
+        edges = np.searchsorted(at, np.arange(0, cells + 1, step))
+        for s in range(SLICES):
+            own = at[edges[s] : edges[s + 1]]
+            if len(own):
+                steps = np.diff(own.astype(np.int64), prepend=s * step).astype("<u4")
+                row = [pa.array([s], pa.int32()), pa.array([pack.compress(steps.tobytes())], pa.binary()), pa.array([pack.compress(n[edges[s] : edges[s + 1]].tobytes())], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, ["slice", "steps", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.uint32)
+        places: list[np.ndarray] = []
+        held = 0
         for batch in pieces(batches):
-            sets = list(shingle_sets(batch.column("text"), k))
-            places = (np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64) if sets else []
-            np.add.at(total, places, 1)
-        if total.any():
-            pack = zstandard.ZstdCompressor(level=1)
-            step = cells // SLICES
-            for s in range(SLICES):
-                part = total[s * step : (s + 1) * step]
-                narrow = part.astype(np.uint8) if part.max() < 256 else part
-                data = bytes([narrow.itemsize]) + pack.compress(narrow.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([data], pa.binary())], ["slice", "data"])
+            for s in shingle_sets(batch.column("text"), k):
+                places.append((s >> np.uint64(64 - CELL_BITS)).astype(np.uint32))
+                held += len(s)
+            if held > 8_000_000:
+                yield from packed(places)
+                places, held = [], 0
+        if held:
+            yield from packed(places)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.uint64)
-                sums[s] = sums[s] + part if s in sums else part
-        for s, x in sums.items():
-            level = np.minimum(255, 8 * np.log2(x.astype(np.float64) + 1)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["slice", "data"])
-
-    schema = "slice int, data binary"
-    counted = docs.select("text").mapInArrow(count, schema)
-    rows = counted.repartition(SLICES, "slice").mapInArrow(add, schema).collect()  # SLICES rows, CELLS bytes in all
-    out = bytearray(cells)
+            for s, steps, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = np.cumsum(np.frombuffer(unpack.decompress(steps), "<u4").astype(np.int64))
+                total = sums.setdefault(s, np.zeros(step, np.uint16))
+                total[at] = np.minimum(total[at] + np.frombuffer(unpack.decompress(counts), np.uint8), 1000)
+        for s, total in sums.items():
+            level = sum((total >= least).astype(np.uint8) for least in LEVELS).reshape(-1, 4)
+            bits = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.astype(np.uint8).tobytes()], pa.binary())], ["slice", "data"])
+
+    counted = docs.select("text").mapInArrow(count, "slice int, steps binary, counts binary")
+    rows = counted.repartition(SLICES, "slice").mapInArrow(add, "slice int, data binary").toLocalIterator()  # SLICES rows, cells / 4 bytes in all
+    out = bytearray(cells // 4)
     for row in rows:
-        out[row["slice"] * (cells // SLICES) : (row["slice"] + 1) * (cells // SLICES)] = row["data"]
+        out[row["slice"] * (step // 4) : (row["slice"] + 1) * (step // 4)] = row["data"]
     return bytes(out)
 
 
 def _sets(docs: DataFrame, ranks, k: int, percent: int) -> DataFrame:
-    """For each row its identifier, the size and key of its set, and its prefix."""
+    """For each row its identifier, the size and key of its set, how many shingles no other document has, and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.frombuffer(ranks.value, np.uint8)
         for batch in pieces(batches):
-            sizes, keys, prefixes = [], [], []
+            sizes, keys, alone, prefixes = [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 sizes.append(len(s))
                 keys.append(_set_key(s))
                 p = _prefix(len(s), percent)
-                if p:
-                    rank = order[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                    s = s[np.argsort(rank, kind="stable")[:p]]  # s is sorted by hash
+                at = (s >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+                level = order[at >> 2] >> (at & 3).astype(np.uint8) * np.uint8(2) & np.uint8(3)
+                alone.append(int(np.count_nonzero(level == 0)))
+                s = s[np.argsort(level, kind="stable")[:p]]  # s is sorted by hash
                 prefixes.append(s[:p].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum(list(map(len, prefixes)))]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(offsets, flat)],
-                ["doc_id", "n", "key", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(alone, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
+                ["doc_id", "n", "key", "alone", "prefix"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, key binary, alone long, prefix array<long>")
 
 
 def _only_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -172,21 +192,30 @@ def _least(x: str, y: str, percent: int):
     return F.ceil((F.col(x) + F.col(y)) * percent / (100 + percent))
 
 
+def _can_link(x: str, y: str, percent: int):
+    """Whether two sets can be alike by their sizes and by the shingles that neither shares with any document."""
+    n = F.col(f"{x}n") + F.col(f"{y}n")
+    most = F.least(F.col(f"{x}n") - F.col(f"{x}u"), F.col(f"{y}n") - F.col(f"{y}u"))
+    return (most * 100 >= (n - most) * percent) & _length_ok(f"{x}n", f"{y}n", percent)
+
+
 def class_links(classes: DataFrame, texts_of: DataFrame, k: int, percent: int) -> DataFrame:
     """Edges (u, v) between set classes (rep, n, key, prefix) that yield their components."""
-    postings = classes.select(F.col("rep"), F.col("n"), F.posexplode("prefix").alias("pos", "shingle"))
+    # a set of which too much is its own is like no other
+    hopeful = classes.filter((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent)
+    postings = hopeful.select("rep", "n", F.col("alone").alias("u"), F.posexplode("prefix").alias("pos", "shingle")).filter("pos >= u")
     # the first round: every document of a bucket with its pivot
     buckets = (
         postings.groupBy("shingle")
-        .agg(F.min(F.struct("pos", "rep", "n")).alias("pivot"), F.count(F.lit(1)).alias("docs"))
+        .agg(F.min(F.struct("pos", "rep", "n", "u")).alias("pivot"), F.count(F.lit(1)).alias("docs"))
         .filter("docs > 1")
-        .select("shingle", "docs", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.pos").alias("pivot_pos"))
+        .select("shingle", "docs", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pn"), F.col("pivot.u").alias("pu"), F.col("pivot.pos").alias("pivot_pos"))
     )
     shared = written(postings.join(buckets, "shingle"), "postings")
-    room = F.least("pos", "pivot_pos") + F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos"))
+    room = F.least("pos", "pivot_pos") + F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("pivot_pos"))
     stars = (
         shared.filter("rep <> pivot")
-        .filter(_length_ok("n", "pivot_n", percent) & (room >= _least("n", "pivot_n", percent)))
+        .filter(_can_link("", "p", percent) & (room >= _least("n", "pn", percent)))
         .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
         .distinct()
     )
@@ -198,28 +227,31 @@ def class_links(classes: DataFrame, texts_of: DataFrame, k: int, percent: int) -
     # the second round: pairs of a bucket whose components still differ
     comp = components(links)
     labelled = shared.join(comp, shared["rep"] == comp["node"], "left").select(
-        "shingle", "rep", "n", "pos", "docs", "pivot", F.coalesce("component", "rep").alias("comp")
+        "shingle", "rep", "n", "u", "pos", "docs", "pivot", F.coalesce("component", "rep").alias("comp")
     )
     of_pivot = F.max(F.when(F.col("rep") == F.col("pivot"), F.col("comp")))
     open_ = labelled.groupBy("shingle").agg(of_pivot.alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("docs").alias("d"))
     open_ = open_.filter("lo <> hi and d > 2").select("shingle", "main")
     rows = written(labelled.join(open_, "shingle"), "open-postings")
-    x = rows.filter("comp <> main").select("shingle", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("comp").alias("xc"))
-    y = rows.select("shingle", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("comp").alias("yc"), (F.col("comp") == F.col("main")).alias("ym"))
+    x = rows.filter("comp <> main").select("shingle", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("u").alias("xu"), F.col("pos").alias("xp"), F.col("comp").alias("xc"))
+    y = rows.select("shingle", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("u").alias("yu"), F.col("pos").alias("yp"), F.col("comp").alias("yc"), (F.col("comp") == F.col("main")).alias("ym"))
     met = x.join(y, "shingle").filter(
         (F.col("xc") != F.col("yc"))
         & (F.col("ym") | (F.col("x") < F.col("y")))
-        & _length_ok("xn", "yn", percent)
-        & (F.least("xp", "yp") + F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) >= _least("xn", "yn", percent))
+        & _can_link("x", "y", percent)
+        # the first shingle that two such sets share stands this early in both
+        & (F.col("xp") + _least("xn", "yn", percent) <= F.col("xn"))
+        & (F.col("yp") + _least("xn", "yn", percent) <= F.col("yn"))
     )
     flip = F.col("x") < F.col("y")
     a = F.when(flip, F.struct(F.col("x").alias("d"), F.col("xn").alias("n"), F.col("xp").alias("p"))).otherwise(F.struct(F.col("y").alias("d"), F.col("yn").alias("n"), F.col("yp").alias("p")))
     b = F.when(flip, F.struct(F.col("y").alias("d"), F.col("yn").alias("n"), F.col("yp").alias("p"))).otherwise(F.struct(F.col("x").alias("d"), F.col("xn").alias("n"), F.col("xp").alias("p")))
+    # positional filter: all that a pair shares stands behind the first shingle that it shares
     pairs = (
         met.select(a.alias("a"), b.alias("b"))
         .groupBy(F.col("a.d").alias("a"), F.col("b.d").alias("b"), F.col("a.n").alias("an"), F.col("b.n").alias("bn"))
-        .agg(F.count(F.lit(1)).alias("c"), F.max("a.p").alias("ap"), F.max("b.p").alias("bp"))
-        .filter(F.col("c") + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1 >= _least("an", "bn", percent))
+        .agg(F.min("a.p").alias("ap"), F.min("b.p").alias("bp"))
+        .filter(F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= _least("an", "bn", percent))
         .select("a", "b")
         .join(tried.select("a", "b"), ["a", "b"], "left_anti")
     )
@@ -233,7 +265,7 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     ranks = docs.sparkSession.sparkContext.broadcast(shingle_ranks(slim, k))
     sets = written(_sets(slim, ranks, k, percent), "shingle-sets")
     usable = sets.filter("doc_id is not null and n > 0")
-    classes = usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("alone").alias("alone"), F.first("prefix").alias("prefix"))
     classes = written(classes, "set-classes")
     edges = class_links(classes, slim.filter("doc_id is not null"), k, percent)
     members = usable.select("doc_id", "key").join(classes.select("key", "rep"), "key")
