@@ -660,3 +660,62 @@ def batch_gcd(spark, sf_dir):
     n = (2 * k + 101) * (2 * (k % 37) + 10007)
     rows = table(spark, sf_dir, "supplier").filter("s_suppkey <= 300").select(k.alias("line"), F.hex(n).alias("hex"))
     return gcd.shared_factors(gcd.read_moduli(rows), 8)
+
+
+# --- packets ----------------------------------------------------------------------------------------
+
+_OPTIONS = "020405b40103030701010402"
+
+
+def _packets(spark, sf_dir) -> DataFrame:
+    """A packet for each flow, put together from its columns: an HTTP request, a DNS query or a SYN."""
+    k = F.col("event_id") % 3
+
+    def hex_of(n, digits):
+        return F.lpad(F.hex(n), digits, "0")
+
+    request = F.concat(F.lit("GET / HTTP/1.1\r\nHost: "), "sni", F.lit("\r\nAccept: */*\r\n\r\n"))
+    labels = F.array_join(F.transform(F.split("sni", r"\."), lambda x: F.concat(hex_of(F.length(x), 2), F.hex(x))), "")
+    query_ = F.concat(hex_of(F.col("event_id") % 65536, 4), F.lit("01000001000000000000"), labels, F.lit("0000010001"))
+    tcp_head = F.concat(hex_of(F.col("src_port"), 4), hex_of(F.col("dst_port"), 4), F.lit("0000000100000001"))
+    http = F.concat(tcp_head, F.lit("5018faf000000000"), F.hex(request))
+    syn = F.concat(tcp_head, F.lit("8002faf000000000"), F.lit(_OPTIONS))
+    dns = F.concat(hex_of(F.col("src_port"), 4), F.lit("0035"), hex_of(8 + F.length(query_) / 2, 4), F.lit("0000"), query_)
+    body = F.when(k == 0, http).when(k == 1, dns).otherwise(syn)
+
+    def address(c):
+        return hex_of(ip.v4_to_int(F.col(c)), 8)
+
+    rows = flows(spark, sf_dir).withColumn("body", body)
+    size = hex_of((20 + F.length("body") / 2).cast("long"), 4)
+    head = F.concat(F.lit("00" * 12 + "08004500"), size, F.lit("0000000040"), F.when(k == 1, "11").otherwise("06"), F.lit("0000"), address("src_ip"), address("dst_ip"))
+    return rows.select(
+        F.lit("made").alias("file"), F.col("event_id").alias("pkt_no"), F.lit(0).cast("long").alias("ts_sec"), F.lit(0).alias("ts_nanos"), F.lit(1).alias("linktype"),
+        F.unhex(F.concat(head, "body")).alias("data"),
+    )
+
+
+@query(
+    "packet_parse",
+    f"""{FLOW} SELECT event_id, src_ip, dst_ip, src_port, CAST(CASE WHEN event_id % 3 = 1 THEN 53 ELSE dst_port END AS INTEGER) AS dst_port,
+  CASE event_id % 3 WHEN 0 THEN 'http_request' WHEN 1 THEN 'dns' ELSE 'tcp_syn' END AS msg_type, CASE event_id % 3 WHEN 0 THEN sni WHEN 1 THEN sni || '.' END AS server_name,
+  CASE event_id % 3 WHEN 0 THEN 'http/(474554)(485454502f312e31)((486f7374)(4163636570743a202a2f2a))' WHEN 2 THEN 'tcp/(40)(00)(40)(faf0)((020405b4)(01)(030307)(01)(01)(04))' END AS fingerprint FROM flow""",
+)
+def packet_parse(spark, sf_dir):
+    from flowquarry.operators.packets import parse_packets
+
+    cols = ["src_ip", "dst_ip", "src_port", "dst_port", "msg_type", "server_name", "fingerprint"]
+    return parse_packets(_packets(spark, sf_dir), "http,dns,tcp").select(F.col("pkt_no").alias("event_id"), *cols)
+
+
+@query(
+    "packet_selection",
+    f"{FLOW} SELECT 'http_request' AS msg_type, count(*) AS n FROM flow WHERE event_id % 3 = 0",
+)
+def packet_selection(spark, sf_dir):
+    from flowquarry.operators.packets import kept_packets, parse_packets
+
+    made = _packets(spark, sf_dir)
+    records = parse_packets(made, "http.request")
+    kept = kept_packets(made, records).select("pkt_no").join(records.select("pkt_no", "msg_type"), "pkt_no")
+    return kept.groupBy("msg_type").agg(F.count(F.lit(1)).alias("n"))
