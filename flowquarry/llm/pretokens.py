@@ -51,6 +51,6 @@ class Kept(dict):
     def learn(self, pieces) -> None:
         if len(self) > self.most:
             self.clear()
-        new = set(pieces).difference(self)
+        new = [p for p in set(pieces) if p not in self]
         if new:
-            self.update(self.encode_all(list(new)))
+            self.update(self.encode_all(new))

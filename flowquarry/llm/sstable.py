@@ -29,7 +29,7 @@ import bisect
 import hashlib
 import struct
 import uuid
-import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -237,9 +237,11 @@ class ByteBpe:
 
         def encode_all(words: list[str]):
             for w in words:
-                yield w, np.array([t.id for t in model.tokenize(mapped(w))], "<u4").tobytes()
+                # of visible ASCII only the space has another sign in the alphabet
+                sign = w.replace(" ", "Ġ") if w.isascii() and w.isprintable() else mapped(w)
+                yield w, array("I", [t.id for t in model.tokenize(sign)]).tobytes()
 
-        self.kept = Kept(encode_all)
+        self.kept = Kept(encode_all, 600_000)
 
     def encode(self, text: str) -> np.ndarray:
         if UNUSUAL.search(text) or any(s in text for s in self.special):
