@@ -13,8 +13,8 @@ They are cut where the minimiser changes, the least hash among the windows of M
 SPAN bytes. Equal strings of SPAN bytes have equal minimisers, so the pieces of one minimiser, at
 most RUN + SPAN - 1 bytes long, form a collection of their own, and collections are spread by
 minimiser. Minimisers that occur in one document only are left out by an exact aggregation, and
-equal pieces are one string with the smallest identifier of their documents, so copies are sorted
-once. Of a minimiser with very many different pieces, the single strings of SPAN bytes are spread
+equal pieces are one string with the smallest identifier of their documents, so they are sorted
+once; copies of a whole text are not even cut. Of a minimiser with very many different pieces, the single strings of SPAN bytes are spread
 instead.
 
 Defined results: matches never cross documents; a null text counts as empty; documents with equal
@@ -40,8 +40,8 @@ from flowquarry.llm.shingles import mix, text_bytes
 from flowquarry.llm.spec_bpe import pieces
 
 SPAN = 50
-M = 16
-RUN = 64
+M = 24
+RUN = 32
 HOT_PIECES = 50_000
 _U = np.uint64
 _BYTE = mix(np.arange(7001, 7257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -58,12 +58,12 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if n <= 0:
         return none, none, none, np.empty(0, np.uint64)
     h = _BYTE[data]
-    for step, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9), (8, 0x27D4EB2F165667C5)):
+    for step, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9)):
         h = h[:-step] * _U(factor) + h[step:]
-    h = mix(h)
-    for step in (1, 2, 4, 8, 16):
+    h = mix(h[: -M + 8] * _U(0x27D4EB2F165667C5) + h[8 : len(h) - M + 16] * _U(0x85EBCA77C2B2AE63) + h[M - 8 :])
+    for step in (1, 2, 4, 8):
         h = np.minimum(h[:-step], h[step:])
-    least = np.minimum(h[:-3], h[3:])  # of the 35 windows of 16 bytes in each string of 50
+    least = np.minimum(h[: -(SPAN - M + 1 - 16)], h[SPAN - M + 1 - 16 :])  # of the 27 windows of 24 bytes in each string of 50
     ends = np.zeros(len(data) + 1, np.int64)
     ends[offsets[1:-1]] = 1
     doc = np.cumsum(ends)[:n] if len(offsets) > 2 else np.zeros(n, np.int64)
@@ -86,16 +86,16 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[start], start, size, least[start]
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
-    """(minimiser, dk) of every piece."""
+def _anchors(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """The minimiser and the keys of its row, for every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1 << 22):
             doc, _, _, least = cut(*text_bytes(batch.column("text")))
-            ids = batch.column("dk").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(ids[doc])], ["m", "dk"])
+            ids = [pa.array(batch.column(k).to_numpy(zero_copy_only=False)[doc]) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), *ids], ["m", *keys])
 
-    return docs.select("dk", "text").mapInArrow(run, "m long, dk long")
+    return docs.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in ["m", *keys]))
 
 
 def _piece_rows(docs: DataFrame) -> DataFrame:
@@ -125,33 +125,33 @@ def _piece_rows(docs: DataFrame) -> DataFrame:
 
 # --- the collection ---------------------------------------------------------------------------------
 
-SUFFIX = np.dtype([("sid", "<i4"), ("size", "<u2"), ("cls", "<i8"), ("sym", "<u2")])
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray]  # symbol, where the next symbol stands, class
 
 
 class Columns:
     """One sequential file for each symbol: suffixes are appended, then read in the order of symbols."""
 
     def __init__(self, folder: str | None):
-        self.kept: dict[int, list[np.ndarray]] = {}
+        self.kept: dict[int, list[Rows]] = {}
         self.folder = folder
         if folder:
             self.fs, self.inner = pyarrow.fs.FileSystem.from_uri(f"{folder}/{uuid.uuid4().hex}")
             self.fs.create_dir(self.inner, recursive=True)
             self.files: dict = {}
 
-    def append(self, rows: np.ndarray) -> None:
+    def append(self, rows: Rows) -> None:
         """rows are in the order of their symbols."""
-        edges = np.flatnonzero(np.diff(rows["sym"])) + 1
-        for part in np.split(rows, edges):
-            s = int(part["sym"][0])
+        edges = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist(), len(rows[0])]
+        for a, b in zip(edges, edges[1:]):
+            s = int(rows[0][a])
             if self.folder:
                 if s not in self.files:
                     self.files[s] = self.fs.open_output_stream(f"{self.inner}/{s:03d}")
-                self.files[s].write(part.tobytes())
+                self.files[s].write((b - a).to_bytes(8, "little") + rows[1][a:b].tobytes() + rows[2][a:b].tobytes())
             else:
-                self.kept.setdefault(s, []).append(part)
+                self.kept.setdefault(s, []).append(tuple(x[a:b] for x in rows))
 
-    def read(self, rows: int) -> Iterator[np.ndarray]:
+    def _parts(self) -> Iterator[Rows]:
         if not self.folder:
             for s in sorted(self.kept):
                 yield from self.kept[s]
@@ -159,97 +159,107 @@ class Columns:
         for s in sorted(self.files):
             self.files[s].close()
             with self.fs.open_input_stream(f"{self.inner}/{s:03d}") as file:
-                while data := file.read(rows * SUFFIX.itemsize):
-                    yield np.frombuffer(data, SUFFIX)
+                while head := file.read(8):
+                    n = int.from_bytes(head, "little")
+                    yield np.full(n, s, np.uint16), np.frombuffer(file.read(8 * n), np.int64), np.frombuffer(file.read(8 * n), np.int64)
+
+    def read(self, rows: int) -> Iterator[Rows]:
+        """All suffixes in order, in chunks of about rows."""
+        held, n = [], 0
+        for part in self._parts():
+            held.append(part)
+            n += len(part[0])
+            if n >= rows:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if held:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
     def delete(self) -> None:
         if self.folder:
             self.fs.delete_dir(self.inner)
 
 
-def common_prefix_classes(data: np.ndarray, offsets: np.ndarray, span: int, folder: str | None = None, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
-    """The suffixes of at least span bytes of all strings, in sorted order.
+def common_prefix_classes(data: np.ndarray, offsets: np.ndarray, span: int, folder: str | None = None, chunk: int = 1 << 20) -> Iterator[Rows]:
+    """The suffixes of at least span bytes of all strings, in sorted order: string, place in it, class.
 
-    Suffixes with equal `cls` have their first span bytes in common, and no others.
+    Suffixes of one class have their first span bytes in common, and no others. An empty symbol in
+    front of every string ends its insertion.
     """
-    m, ends = len(offsets) - 1, offsets[1:]
-    lengths = np.diff(offsets)
+    m, lengths = len(offsets) - 1, np.diff(offsets)
     rounds = int(lengths.max()) if m else 0
     if rounds < span:
         return
-    empty = np.zeros(m, SUFFIX)
-    empty["sid"] = np.arange(m)
+    number = np.arange(m)
+    symbols = np.zeros(len(data) + m, np.uint16)
+    symbols[np.arange(len(data)) + np.repeat(number + 1, lengths)] = data.astype(np.uint16) + 1
+    first, last = offsets[:-1] + number + 1, offsets[1:] + number
 
-    def ordered(columns: Columns | None, level: int) -> Iterator[np.ndarray]:
+    def ordered(columns: Columns | None, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All suffixes of this round in order, with their classes: the empty ones, then the columns."""
-        start = empty.copy()
-        start["cls"] = np.arange(m) if level else 0
-        yield start
+        yield last, number if level else np.zeros(m, np.int64)
         if columns is None:
             return
         classes, before = m, None
-        for rows in columns.read(chunk):
-            rows = rows.copy()
-            if level:
-                edge = np.ones(len(rows), bool)
-                edge[1:] = (rows["sym"][1:] != rows["sym"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])
-                if before is not None:
-                    edge[0] = before != (int(rows["sym"][0]), int(rows["cls"][0]))
-                before = int(rows["sym"][-1]), int(rows["cls"][-1])
-                number = classes + np.cumsum(edge) - 1
-                classes = int(number[-1]) + 1
-                # a class that goes on from the last chunk keeps its number
-                rows["cls"] = number
-            else:
-                rows["cls"] = 0
-            yield rows
+        for sym, at, cls in columns.read(chunk):
+            if not level:
+                yield at, np.zeros(len(at), np.int64)
+                continue
+            edge = np.ones(len(at), bool)
+            edge[1:] = (sym[1:] != sym[:-1]) | (cls[1:] != cls[:-1])
+            if before is not None:
+                edge[0] = before != (sym[0], cls[0])  # a class may go on from the last chunk
+            before = sym[-1], cls[-1]
+            new = classes + np.cumsum(edge) - 1
+            classes = int(new[-1]) + 1
+            yield at, new
 
     columns = None
     for r in range(1, rounds + 1):
         level = max(0, r - 1 - (rounds - span))  # symbols that the classes of the last round have compared
         following = Columns(folder)
-        for rows in ordered(columns, level):
-            left = rows["size"] < lengths[rows["sid"]]
-            rows = rows[left]
-            if len(rows):
-                rows["sym"] = data[ends[rows["sid"]] - rows["size"] - 1].astype(np.uint16) + 1
-                rows["size"] += 1
-                following.append(rows[np.argsort(rows["sym"], kind="stable")])
+        for at, cls in ordered(columns, level):
+            sym = symbols[at]
+            order = np.argsort(sym, kind="stable")
+            order = order[np.searchsorted(sym, 1, sorter=order) :]
+            if len(order):
+                following.append((sym[order], at[order] - 1, cls[order]))
         if columns is not None:
             columns.delete()
         columns = following
-    for rows in ordered(columns, span):
-        if len(rows := rows[rows["size"] >= span]):
-            yield rows
+    for at, cls in ordered(columns, span):
+        sid = np.searchsorted(first, at + 1, side="right") - 1
+        place = at + 1 - first[sid]
+        long = lengths[sid] - place >= span
+        if long.any():
+            yield sid[long], place[long], cls[long]
     columns.delete()
 
 
-def least_ids(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, folder: str | None) -> list[np.ndarray | None]:
+def least_ids(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, folder: str | None) -> list[np.ndarray]:
     """For each string the least of ids among the strings that share the SPAN bytes at each of its places."""
-    lengths = np.diff(offsets)
-    places = np.concatenate([[0], np.cumsum(np.maximum(0, lengths - SPAN + 1))])
+    places = np.concatenate([[0], np.cumsum(np.maximum(0, np.diff(offsets) - SPAN + 1))])
     out = np.full(int(places[-1]), LAST_ID, np.int64)
-    held: list[np.ndarray] = []
+    held: list[Rows] = []
 
-    def settle(rows: np.ndarray) -> None:
-        own = ids[rows["sid"]]
-        first = np.flatnonzero(np.concatenate([[True], np.diff(rows["cls"]) != 0]))
-        least = np.minimum.reduceat(own, first)
-        at = places[rows["sid"]] + lengths[rows["sid"]] - rows["size"]
-        out[at] = np.repeat(least, np.diff(np.append(first, len(rows))))
+    def settle(parts: list[Rows]) -> None:
+        sid, place, cls = map(np.concatenate, zip(*parts, strict=True))
+        first = np.flatnonzero(np.concatenate([[True], np.diff(cls) != 0]))
+        least = np.minimum.reduceat(ids[sid], first)
+        out[places[sid] + place] = np.repeat(least, np.diff(np.append(first, len(cls))))
 
     for rows in common_prefix_classes(data, offsets, SPAN, folder):
-        edges = np.flatnonzero(np.diff(rows["cls"])) + 1
-        if held and held[-1]["cls"][-1] != rows["cls"][0]:
-            settle(np.concatenate(held))
+        edges = np.flatnonzero(np.diff(rows[2])) + 1
+        if held and held[-1][2][-1] != rows[2][0]:
+            settle(held)
             held = []
         if len(edges):  # all but the last class are complete
-            settle(np.concatenate([*held, rows[: edges[-1]]]))
-            held = [rows[edges[-1] :]]
+            settle([*held, tuple(x[: edges[-1]] for x in rows)])
+            held = [tuple(x[edges[-1] :] for x in rows)]
         else:
             held.append(rows)
     if held:
-        settle(np.concatenate(held))
+        settle(held)
     return [out[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
 
 
@@ -331,12 +341,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, the removed spans [start, end) and the kept bytes of every row."""
     spark = docs.sparkSession
     key = F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID))
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), key.alias("dk"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
-    anchors = _anchors(base)
-    shared = anchors.groupBy("m").agg(F.min("dk").alias("lo"), F.max("dk").alias("hi")).filter("lo < hi").select("m")
+    base = docs.select(
+        docs[id_col].cast("long").alias("doc_id"), key.alias("dk"), F.xxhash64(docs[text_col]).alias("th"), F.hash(docs[text_col]).alias("h2"),
+        F.octet_length(docs[text_col]).cast("long").alias("n"), docs[text_col].alias("text"),
+    )
+    # later copies of a whole text: all of it goes, and it adds nothing to what the first copy holds
+    texts = base.select("dk", "th", "h2", "n")
+    firsts = texts.groupBy("th", "h2", "n").agg(F.min("dk").alias("least"), F.max("dk").alias("hi")).filter("least < hi").drop("hi")
+    copies = texts.join(firsts, ["th", "h2", "n"]).filter("dk > least").select("dk", "th", "n", "least").distinct()
+    copies = written(copies, "copies")
+    # only minimisers that two different texts have can stand in a string that they share
+    shared = _anchors(base, ["th"]).groupBy("m").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).filter("lo <> hi").select("m")
     shared = written(shared, "shared-minimisers")
-    of_doc = written(anchors.join(shared, "m", "left_semi").groupBy("dk").agg(F.collect_set("m").alias("shared")), "document-minimisers")
-    pieces_ = written(_piece_rows(base.join(of_doc, "dk")), "pieces")
+    of_doc = _anchors(base, ["dk", "th"]).join(shared, "m", "left_semi").groupBy("dk", "th").agg(F.collect_set("m").alias("shared"))
+    of_doc = written(of_doc.join(copies.select("dk", "th"), ["dk", "th"], "left_anti"), "document-minimisers")
+    pieces_ = written(_piece_rows(base.join(of_doc, ["dk", "th"])), "pieces")
     strings = written(pieces_.groupBy("m", "piece").agg(F.min("dk").alias("least")), "strings")
     counts = strings.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     several = written(strings.join(counts, "m"), "open-strings")
@@ -362,7 +381,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = strings.join(done, "piece", "left").select("piece", "least", "at_least")
     found = pieces_.join(known, "piece").filter("at_least is not null or least < dk")
     n_bytes = F.octet_length("piece").cast("long").alias("n")
-    by_doc = found.groupBy("dk", "th").agg(F.collect_list(F.struct("start", n_bytes, "least", "at_least")).alias("found"))
+    found = found.select("dk", "th", "start", n_bytes, "least", "at_least")
+    whole = copies.filter(F.col("n") >= SPAN).select("dk", "th", F.lit(0).cast("long").alias("start"), "n", "least", F.lit(None).cast("binary").alias("at_least"))
+    by_doc = found.union(whole).groupBy("dk", "th").agg(F.collect_list(F.struct("start", "n", "least", "at_least")).alias("found"))
     by_doc = written(by_doc, "removed-pieces")
     joined = base.join(by_doc, ["dk", "th"], "left").select("doc_id", "dk", "text", "found")
     return _remove(joined)
