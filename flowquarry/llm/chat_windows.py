@@ -44,7 +44,7 @@ class ChatConfig:
 
 
 def quote(text: Column) -> Column:
-    return F.regexp_replace(text, CONTROL, r"$1$2\\\\$3")
+    return F.regexp_replace(text, CONTROL, r"$1$2\\$3")
 
 
 def unquote(text: Column) -> Column:
