@@ -19,6 +19,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -146,7 +147,7 @@ class SpeculativeBpe:
         except KeyError:
             kept.learn(words)
             found = list(map(kept.__getitem__, words))
-        return [t for ids in found for t in ids]
+        return list(chain.from_iterable(found))
 
     def encode(self, text: str) -> list[int]:
         if self.special_re is None or not self.special_re.search(text):
@@ -160,13 +161,17 @@ class SpeculativeBpe:
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text. Words new to this worker are proposed and verified together."""
-        ordinary = [t.lower() for t in texts]
-        words: set[str] = set()
-        for t in ordinary:
-            if not UNUSUAL.search(t):
-                words.update(WORD_LEVEL.findall(t))
-        self.kept.learn(words)
-        return [self.encode(t) for t in texts]
+        split: list[list[str] | None] = []
+        for text in texts:
+            lower = text.lower()
+            plain = not UNUSUAL.search(lower) and not (self.special_re and self.special_re.search(text))
+            split.append(WORD_LEVEL.findall(lower) if plain else None)
+        self.kept.learn({w for words in split if words for w in words})
+        find = self.kept.__getitem__
+        return [
+            self.encode(text) if words is None else list(chain.from_iterable(map(find, words)))
+            for text, words in zip(texts, split, strict=True)
+        ]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces: the file has no decoder of its own."""
@@ -201,7 +206,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in pieces(batches):
             ids = bpe.encode_all([t or "" for t in batch.column("text").to_pylist()])
             sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.fromiter((t for x in ids for t in x), np.int32, int(sizes.sum()))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(offsets, flat), pa.array(map(bpe.decode, ids), pa.string())],
