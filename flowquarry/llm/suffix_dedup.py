@@ -9,13 +9,20 @@ prefix are updated along with it, one symbol longer each round. Beyond `memory_s
 read and write their files in the shared folder in chunks.
 
 Rounds are as many as the longest string has symbols, so documents are not inserted as they are.
-They are cut where the minimiser changes, the least hash among the windows of M bytes of a string of
-SPAN bytes. Equal strings of SPAN bytes have equal minimisers, so the pieces of one minimiser, at
-most RUN + SPAN - 1 bytes long, form a collection of their own, and collections are spread by
-minimiser. Minimisers that occur in one document only are left out by an exact aggregation, and
-equal pieces are one string with the smallest identifier of their documents, so they are sorted
-once; copies of a whole text are not even cut. Of a minimiser with very many different pieces, the single strings of SPAN bytes are spread
-instead.
+They are cut where the minimiser changes: the least hash among the windows of M bytes of a string of
+SPAN bytes, the leftmost of equal ones. Equal strings of SPAN bytes have equal minimisers, so the
+pieces of one minimiser, at most 2 SPAN - M bytes long, form a collection of their own, and
+collections are spread by minimiser.
+
+What cannot match is left out before, exactly. A string of SPAN bytes has SIDE bytes or more on one
+side of its minimiser, so a piece matters only if a different text has its minimiser with the same
+SIDE bytes to the right, or to the left. That is decided by sorting hashes in slices of the hash
+range, one task for each; false agreement costs work and removes nothing. Later copies of a whole
+text are not cut: all of it goes. Equal pieces are one string with the smallest identifier of their
+documents. Of a minimiser with very many different pieces, the single strings of SPAN bytes are
+spread instead.
+
+Texts travel in compressed batches, so the joins back to them handle few rows.
 
 Defined results: matches never cross documents; a null text counts as empty; documents with equal
 identifier remove nothing from each other; null identifiers count as larger than all others; rows
@@ -32,6 +39,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,86 +50,189 @@ from flowquarry.llm.spec_bpe import pieces
 
 SPAN = 50
 M = 24
-RUN = 32
+SIDE = (SPAN - M + 1) // 2
 HOT_PIECES = 50_000
 _U = np.uint64
 _BYTE = mix(np.arange(7001, 7257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 LAST_ID = (1 << 63) - 1
 
 
-# --- pieces of documents ----------------------------------------------------------------------------
+# --- batches and pieces of documents ------------------------------------------------------------------
+
+BATCH = "bid long, doc_ids array<long>, dks array<long>, ths array<long>, h2s array<int>, sizes array<long>, blob binary"
+
 
+def _batches(docs: DataFrame) -> DataFrame:
+    """Rows of up to 2000 texts, their bytes in one compressed blob, with a number of their own."""
 
-def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of the texts in data: text number, start in data, number of strings of SPAN bytes, minimiser."""
-    n = len(data) - SPAN + 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in pieces(batches, 1 << 22, 2000):
+            data, offsets = text_bytes(batch.column("text"))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(c)) for c in ("doc_id", "dk", "th", "h2")]
+            sizes = pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), pa.array(np.diff(offsets)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number]), *lists, sizes, pa.array([pack.compress(data.tobytes())], pa.binary())],
+                ["bid", "doc_ids", "dks", "ths", "h2s", "sizes", "blob"],
+            )
+            number += 1
+
+    return docs.select("doc_id", "dk", "th", "h2", "text").mapInArrow(run, BATCH)
+
+
+def _unpacked(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    sizes = batch.column("sizes")[k].values.to_numpy(zero_copy_only=False)
+    raw = zstandard.ZstdDecompressor().decompress(batch.column("blob")[k].as_py(), max_output_size=int(sizes.sum()) + 1)
+    return np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces of the texts in data: text number, start in data, number of strings of SPAN bytes, minimiser,
+    and hashes of the minimiser with the SIDE bytes to its right and to its left."""
+    n, w = len(data) - SPAN + 1, SPAN - M + 1
     none = np.empty(0, np.int64)
     if n <= 0:
-        return none, none, none, np.empty(0, np.uint64)
-    h = _BYTE[data]
+        return none, none, none, none.view(np.uint64), none.astype(np.uint32), none.astype(np.uint32)
+    h8 = _BYTE[data]
     for step, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9)):
-        h = h[:-step] * _U(factor) + h[step:]
-    h = mix(h[: -M + 8] * _U(0x27D4EB2F165667C5) + h[8 : len(h) - M + 16] * _U(0x85EBCA77C2B2AE63) + h[M - 8 :])
+        h8 = h8[:-step] * _U(factor) + h8[step:]
+    h = mix(h8[: -M + 8] * _U(0x27D4EB2F165667C5) + h8[8 : len(h8) - M + 16] * _U(0x85EBCA77C2B2AE63) + h8[M - 8 :])
+    low = h
     for step in (1, 2, 4, 8):
-        h = np.minimum(h[:-step], h[step:])
-    least = np.minimum(h[: -(SPAN - M + 1 - 16)], h[SPAN - M + 1 - 16 :])  # of the 27 windows of 24 bytes in each string of 50
-    ends = np.zeros(len(data) + 1, np.int64)
-    ends[offsets[1:-1]] = 1
-    doc = np.cumsum(ends)[:n] if len(offsets) > 2 else np.zeros(n, np.int64)
-    if len(np.unique(offsets)) != len(offsets):
-        doc = np.searchsorted(offsets, np.arange(n), side="right") - 1  # some texts are empty
-    inside = np.arange(n) + SPAN <= offsets[doc + 1]
-    at = np.flatnonzero(inside)
+        low = np.minimum(low[:-step], low[step:])
+    low = np.minimum(low[: -(w - 16)], low[w - 16 :])  # of the w windows of M bytes in each string of SPAN
+    lengths = np.diff(offsets)
+    good = np.maximum(0, lengths - SPAN + 1)
+    doc = np.repeat(np.arange(len(lengths)), good)
+    at = np.repeat(offsets[:-1] - (np.cumsum(good) - good), good) + np.arange(int(good.sum()))
     if not len(at):
-        return none, none, none, np.empty(0, np.uint64)
+        return cut(data[:0], offsets[:1])
+    value = low[at]
     new = np.ones(len(at), bool)
-    new[1:] = (least[at[1:]] != least[at[:-1]]) | (at[1:] != at[:-1] + 1)
+    new[1:] = (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(at)))
-    if size.max() > RUN:
-        parts = -(-size // RUN)
-        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        first = np.repeat(first, parts) + k * RUN
-        size = np.minimum(RUN, np.repeat(size, parts) - k * RUN)
-    start = at[first]
-    return doc[start], start, size, least[start]
 
+    def leftmost(start: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Where the minimiser of the string at start stands first."""
+        out = np.full(len(start), -1)
+        for k in range(w - 1, -1, -1):
+            out = np.where(h[start + k] == least, start + k, out)
+        return out
 
-def _anchors(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """The minimiser and the keys of its row, for every piece."""
+    start, least, owner = at[first], value[first], doc[first]
+    p = leftmost(start, least)
+    twice = leftmost(start + size - 1, least) != p  # the minimiser recurs: one piece for each string
+    if twice.any():
+        more = np.repeat(first[twice], size[twice]) + np.arange(int(size[twice].sum())) - np.repeat(np.cumsum(size[twice]) - size[twice], size[twice])
+        start, size = np.concatenate([start[~twice], at[more]]), np.concatenate([size[~twice], np.ones(len(more), np.int64)])
+        least, owner = np.concatenate([least[~twice], value[more]]), np.concatenate([owner[~twice], doc[more]])
+        p = np.concatenate([p[~twice], leftmost(at[more], value[more])])
+        order = np.argsort(start, kind="stable")
+        start, size, least, owner, p = start[order], size[order], least[order], owner[order], p[order]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 22):
-            doc, _, _, least = cut(*text_bytes(batch.column("text")))
-            ids = [pa.array(batch.column(k).to_numpy(zero_copy_only=False)[doc]) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), *ids], ["m", *keys])
+    def side(begin: np.ndarray, ok: np.ndarray, salt: int) -> np.ndarray:
+        b = np.clip(begin, 0, len(h8) - (SIDE - 7))
+        key = mix(least * _BYTE[salt] + h8[b] * _BYTE[1] + h8[b + SIDE - 8])
+        alone = mix(start.astype(np.uint64) * _BYTE[2] + _BYTE[salt])  # no such side: agrees with none, but by chance
+        return (np.where(ok, key, alone) >> _U(32)).astype(np.uint32)
+
+    right = side(p + M, p + M + SIDE <= offsets[owner + 1], 3)
+    left = side(p - SIDE, p - SIDE >= offsets[owner], 4)
+    return owner, start, size, least, right, left
 
-    return docs.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in ["m", *keys]))
 
+def _slices(least: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slice of each minimiser, and the order that puts slices together."""
+    s = (mix(least) % _U(n)).astype(np.int64)
+    return s, np.argsort(s, kind="stable")
 
-def _piece_rows(docs: DataFrame) -> DataFrame:
-    """The pieces of docs whose minimiser is among their row's `shared`."""
+
+def _anchors(batches_: DataFrame, n: int) -> DataFrame:
+    """For each batch and slice the hashes of the pieces' sides and their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 21):
-            data, offsets = text_bytes(batch.column("text"))
-            doc, start, size, least = cut(data, offsets)
-            keys = batch.column("shared")
-            owner = np.repeat(np.arange(len(batch)), keys.value_lengths().to_numpy(zero_copy_only=False))
-            values = keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            keep = np.isin(mix(least + doc.astype(np.uint64) * _BYTE[1]), mix(values + owner.astype(np.uint64) * _BYTE[1]))
-            doc, start, size, least = doc[keep], start[keep], size[keep], least[keep]
-            length = size + SPAN - 1
-            to = np.concatenate([[0], np.cumsum(length)])
-            source = np.repeat(start - to[:-1], length) + np.arange(to[-1])
-            text = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data[source])])
-            take = pa.array(doc)
+        for batch in batches:
+            for k in range(len(batch)):
+                doc, _, _, least, right, left = cut(*_unpacked(batch, k))
+                s, order = _slices(least, n)
+                edges = np.searchsorted(s[order], np.arange(n + 1))
+                ths = batch.column("ths")[k].values.to_numpy(zero_copy_only=False)
+                rows = []
+                for i in np.flatnonzero(np.diff(edges)).tolist():
+                    own = order[edges[i] : edges[i + 1]]
+                    d = doc[own]
+                    used, index = np.unique(d, return_inverse=True)
+                    rows.append((i, right[own].tobytes() + left[own].tobytes(), index.astype("<u2").tobytes(), ths[used].tobytes()))
+                if rows:
+                    i, keys, index, texts = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([batch.column("bid")[k].as_py()] * len(rows)), pa.array(i, pa.int32()), *(pa.array(x, pa.binary()) for x in (keys, index, texts))],
+                        ["bid", "slice", "keys", "index", "texts"],
+                    )
+
+    return batches_.mapInArrow(run, "bid long, slice int, keys binary, index binary, texts binary")
+
+
+def _agreeing(keys: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Which keys two different texts have."""
+    order = np.argsort(keys)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+    own = texts[order]
+    differ = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+    out = np.zeros(len(keys), bool)
+    out[order] = np.repeat(differ, np.diff(np.append(first, len(keys))))
+    return out
+
+
+def _flags(anchors: DataFrame, n: int) -> DataFrame:
+    """For each batch and slice the pieces that may match another text, one bit each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list] = {}
+        for batch in batches:
+            for bid, s, keys, index, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k = np.frombuffer(keys, np.uint32)
+                by.setdefault(s, []).append((bid, k[: len(k) // 2], k[len(k) // 2 :], np.frombuffer(texts, np.int64)[np.frombuffer(index, "<u2")]))
+        for s, rows in by.items():
+            texts = np.concatenate([r[3] for r in rows])
+            found = _agreeing(np.concatenate([r[1] for r in rows]), texts) | _agreeing(np.concatenate([r[2] for r in rows]), texts)
+            parts = np.split(found, np.cumsum([len(r[3]) for r in rows])[:-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(least.view(np.int64)), batch.column("dk").take(take), batch.column("th").take(take), pa.array(start - offsets[doc]), text],
-                ["m", "dk", "th", "start", "piece"],
+                [pa.array([r[0] for r in rows]), pa.array([s] * len(rows), pa.int32()), pa.array([np.packbits(f).tobytes() for f in parts], pa.binary())], ["bid", "slice", "bits"]
             )
 
-    return docs.select("dk", "th", "text", "shared").mapInArrow(run, "m long, dk long, th long, start long, piece binary")
+    return anchors.repartition(n, "slice").mapInArrow(run, "bid long, slice int, bits binary")
+
+
+def _piece_rows(batches_: DataFrame, n: int) -> DataFrame:
+    """The flagged pieces of batches with `flags` (slice, bits) and `skip`, the numbers of texts that are later copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                data, offsets = _unpacked(batch, k)
+                doc, start, size, least, _, _ = cut(data, offsets)
+                s, order = _slices(least, n)
+                edges = np.searchsorted(s[order], np.arange(n + 1))
+                keep = np.zeros(len(doc), bool)
+                for flag in batch.column("flags")[k].as_py() or []:
+                    own = order[edges[flag["slice"]] : edges[flag["slice"] + 1]]
+                    keep[own] = np.unpackbits(np.frombuffer(flag["bits"], np.uint8), count=len(own)).astype(bool)
+                keep &= ~np.isin(doc, np.array(batch.column("skip")[k].as_py() or [], np.int64))
+                doc, start, size, least = doc[keep], start[keep], size[keep], least[keep]
+                length = size + SPAN - 1
+                to = np.concatenate([[0], np.cumsum(length)])
+                source = np.repeat(start - to[:-1], length) + np.arange(to[-1])
+                text = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[source]))])
+                dks = batch.column("dks")[k].values.to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(least.view(np.int64)), pa.array(np.full(len(doc), batch.column("bid")[k].as_py(), np.int64)), pa.array(doc), pa.array(dks[doc]), pa.array(start - offsets[doc]), text],
+                    ["m", "bid", "i", "dk", "start", "piece"],
+                )
+
+    return batches_.mapInArrow(run, "m long, bid long, i long, dk long, start long, piece binary")
 
 
 # --- the collection ---------------------------------------------------------------------------------
@@ -147,7 +259,7 @@ class Columns:
             if self.folder:
                 if s not in self.files:
                     self.files[s] = self.fs.open_output_stream(f"{self.inner}/{s:03d}")
-                self.files[s].write((b - a).to_bytes(8, "little") + rows[1][a:b].tobytes() + rows[2][a:b].tobytes())
+                self.files[s].write((b - a).to_bytes(8, "little") + rows[1][a:b].astype(np.int64).tobytes() + rows[2][a:b].astype(np.int64).tobytes())
             else:
                 self.kept.setdefault(s, []).append(tuple(x[a:b] for x in rows))
 
@@ -191,26 +303,27 @@ def common_prefix_classes(data: np.ndarray, offsets: np.ndarray, span: int, fold
     if rounds < span:
         return
     number = np.arange(m)
+    small = np.int32 if len(data) + m < 1 << 31 else np.int64
     symbols = np.zeros(len(data) + m, np.uint16)
     symbols[np.arange(len(data)) + np.repeat(number + 1, lengths)] = data.astype(np.uint16) + 1
-    first, last = offsets[:-1] + number + 1, offsets[1:] + number
+    first, last = offsets[:-1] + number + 1, (offsets[1:] + number).astype(small)
 
     def ordered(columns: Columns | None, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All suffixes of this round in order, with their classes: the empty ones, then the columns."""
-        yield last, number if level else np.zeros(m, np.int64)
+        yield last, (number if level else np.zeros(m)).astype(small)
         if columns is None:
             return
         classes, before = m, None
         for sym, at, cls in columns.read(chunk):
             if not level:
-                yield at, np.zeros(len(at), np.int64)
+                yield at, np.zeros(len(at), small)
                 continue
             edge = np.ones(len(at), bool)
             edge[1:] = (sym[1:] != sym[:-1]) | (cls[1:] != cls[:-1])
             if before is not None:
                 edge[0] = before != (sym[0], cls[0])  # a class may go on from the last chunk
             before = sym[-1], cls[-1]
-            new = classes + np.cumsum(edge) - 1
+            new = np.cumsum(edge, dtype=small) + small(classes - 1)
             classes = int(new[-1]) + 1
             yield at, new
 
@@ -314,54 +427,58 @@ def _covered(dk: int, entries: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def _remove(docs: DataFrame) -> DataFrame:
+def _remove(batches_: DataFrame) -> DataFrame:
+    """The documents of batches with `found`, (text number, start, n, least, at_least) of what to look at."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            rows = []
-            for doc_id, dk, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "dk", "text", "found")), strict=True):
-                raw = (text or "").encode()
-                spans = _covered(dk, found or [])
-                at, kept = 0, []
-                for a, b in spans:
-                    kept.append(raw[at:a])
-                    at = b
-                kept.append(raw[at:])
-                rows.append((doc_id, len(raw), spans, b"".join(kept)))
-            names = ["doc_id", "n_bytes", "spans", "kept"]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            cols[2] = [[{"start": a, "end": b} for a, b in s] for s in cols[2]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        for batch in batches:
+            for k in range(len(batch)):
+                data, offsets = _unpacked(batch, k)
+                by: dict[int, list[dict]] = {}
+                for e in batch.column("found")[k].as_py() or []:
+                    by.setdefault(e["i"], []).append(e)
+                dks = batch.column("dks")[k].as_py()
+                spans, kept = [], []
+                for i, dk in enumerate(dks):
+                    own = data[offsets[i] : offsets[i + 1]].tobytes()
+                    spans.append(_covered(dk, by[i]) if i in by else [])
+                    at, parts = 0, []
+                    for a, b in spans[-1]:
+                        parts.append(own[at:a])
+                        at = b
+                    parts.append(own[at:])
+                    kept.append(b"".join(parts))
+                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                shown = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_ids")[k].values, pa.array(np.diff(offsets)), shown, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"]
+                )
 
     schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    return docs.mapInArrow(run, schema)
+    return batches_.mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_suffixes: int = 1 << 23) -> DataFrame:
     """doc_id, n_bytes, the removed spans [start, end) and the kept bytes of every row."""
     spark = docs.sparkSession
+    n = cluster_partitions(spark)
     key = F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID))
-    base = docs.select(
-        docs[id_col].cast("long").alias("doc_id"), key.alias("dk"), F.xxhash64(docs[text_col]).alias("th"), F.hash(docs[text_col]).alias("h2"),
-        F.octet_length(docs[text_col]).cast("long").alias("n"), docs[text_col].alias("text"),
-    )
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), key.alias("dk"), F.xxhash64(docs[text_col]).alias("th"), F.hash(docs[text_col]).alias("h2"), docs[text_col].alias("text"))
+    texts = written(_batches(base), "text-batches")
     # later copies of a whole text: all of it goes, and it adds nothing to what the first copy holds
-    texts = base.select("dk", "th", "h2", "n")
-    firsts = texts.groupBy("th", "h2", "n").agg(F.min("dk").alias("least"), F.max("dk").alias("hi")).filter("least < hi").drop("hi")
-    copies = texts.join(firsts, ["th", "h2", "n"]).filter("dk > least").select("dk", "th", "n", "least").distinct()
-    copies = written(copies, "copies")
-    # only minimisers that two different texts have can stand in a string that they share
-    shared = _anchors(base, ["th"]).groupBy("m").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).filter("lo <> hi").select("m")
-    shared = written(shared, "shared-minimisers")
-    of_doc = _anchors(base, ["dk", "th"]).join(shared, "m", "left_semi").groupBy("dk", "th").agg(F.collect_set("m").alias("shared"))
-    of_doc = written(of_doc.join(copies.select("dk", "th"), ["dk", "th"], "left_anti"), "document-minimisers")
-    pieces_ = written(_piece_rows(base.join(of_doc, ["dk", "th"])), "pieces")
+    each = texts.select("bid", F.posexplode(F.arrays_zip("dks", "ths", "h2s", "sizes")).alias("i", "t")).select("bid", F.col("i").cast("long").alias("i"), "t.*")
+    firsts = each.groupBy("ths", "h2s", "sizes").agg(F.min("dks").alias("least"), F.max("dks").alias("hi")).filter("least < hi").drop("hi")
+    copies = written(each.join(firsts, ["ths", "h2s", "sizes"]).filter("dks > least").select("bid", "i", "least", F.col("sizes").alias("n")), "copies")
+    flags = written(_flags(_anchors(texts, n), n), "flags")
+    of_batch = flags.groupBy("bid").agg(F.collect_list(F.struct("slice", "bits")).alias("flags"))
+    skips = copies.groupBy("bid").agg(F.collect_list("i").alias("skip"))
+    pieces_ = written(_piece_rows(texts.join(of_batch, "bid").join(skips, "bid", "left"), n), "pieces")
     strings = written(pieces_.groupBy("m", "piece").agg(F.min("dk").alias("least")), "strings")
-    counts = strings.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # where all strings of a minimiser start in one smallest document, no place can have a smaller one
+    counts = strings.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("lo"), F.max("least").alias("hi")).filter("lo < hi").select("m", "n")
     several = written(strings.join(counts, "m"), "open-strings")
     usual = several.filter(F.col("n") <= HOT_PIECES).select("m", "piece", "least")
     folder = new_path(spark, "suffix-columns")
-    n = cluster_partitions(spark)
     done = _sorted_collections(usual.repartition(n, "m"), folder, memory_suffixes)
     # of very large collections every string of SPAN bytes goes where its own hash says
     grams = (
@@ -377,16 +494,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     hot = hot.select(F.col("whole").alias("piece"), F.aggregate("x", F.lit(b""), lambda a, e: F.concat(a, e["at_least"])).alias("at_least"))
     done = written(done.select("piece", "at_least").union(hot), "least-ids")
-    # to the documents: by a hash of the piece where it is not sorted further
-    known = strings.join(done, "piece", "left").select("piece", "least", "at_least")
-    found = pieces_.join(known, "piece").filter("at_least is not null or least < dk")
-    n_bytes = F.octet_length("piece").cast("long").alias("n")
-    found = found.select("dk", "th", "start", n_bytes, "least", "at_least")
-    whole = copies.filter(F.col("n") >= SPAN).select("dk", "th", F.lit(0).cast("long").alias("start"), "n", "least", F.lit(None).cast("binary").alias("at_least"))
-    by_doc = found.union(whole).groupBy("dk", "th").agg(F.collect_list(F.struct("start", "n", "least", "at_least")).alias("found"))
-    by_doc = written(by_doc, "removed-pieces")
-    joined = base.join(by_doc, ["dk", "th"], "left").select("doc_id", "dk", "text", "found")
-    return _remove(joined)
+    # pieces are named by two hashes of theirs, so that their bytes are not dealt out again
+    name = [F.xxhash64("piece").alias("p1"), F.hash("piece").alias("p2")]
+    known = strings.select(*name, "least").join(done.select(*name, "at_least"), ["p1", "p2"], "left")
+    found = pieces_.select("bid", "i", "dk", "start", F.octet_length("piece").cast("long").alias("n"), *name).join(known, ["p1", "p2"])
+    found = found.filter("at_least is not null or least < dk").select("bid", "i", "start", "n", "least", "at_least")
+    whole = copies.filter(F.col("n") >= SPAN).select("bid", "i", F.lit(0).cast("long").alias("start"), "n", "least", F.lit(None).cast("binary").alias("at_least"))
+    by_batch = found.union(whole).groupBy("bid").agg(F.collect_list(F.struct("i", "start", "n", "least", "at_least")).alias("found"))
+    return _remove(texts.join(by_batch, "bid", "left").select(*texts.columns, "found"))
 
 
 def kept_digest(removed: DataFrame) -> DataFrame:
