@@ -2,12 +2,15 @@
 
 Every text gets base features, and the mean over its hashed word unigrams and bigrams of
 log p_target(bucket) / p_raw(bucket). p_raw counts all documents; p_target counts the documents
-that the labels call good. Counts live in a fixed number of buckets, so what reaches the driver
-and what is sent to the executors has one size for any corpus.
+that the labels call good. The number of buckets grows with the corpus's distinct n-grams, so that
+a bucket holds `load` of them at most, whatever the size, and the ratios do not drift to the mean.
 
-Everything is built-in column expressions. A document is scored from its own row: no shuffle
-of texts, no join, and no row is dropped or sampled. Only the trusted documents, which fit the
-target distribution, are bounded: the `target_rows` smallest by hash of their identifier.
+Everything is built-in column expressions, and no row is dropped or sampled. Up to `LITERAL` buckets
+the weights are a literal, and a document is scored from its own row. Beyond, they are a table: n-grams
+meet it in a join (blocks of weights are broadcast up to `BROADCAST` buckets, beyond that both sides are
+shuffled by bucket), sums combine by text before the shuffle, and scores come back to the rows by two
+hashes of the text. Only the trusted documents, which fit the target distribution, are bounded: the
+`target_rows` smallest by hash of their identifier.
 
 Defined results: a null text counts as one without words; null and unlabelled identifiers are
 never trusted; repeated rows are scored alike and each counts; extra columns are ignored; with no
@@ -22,23 +25,37 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import let, words_of
+from flowquarry.llm.common import let, words_of, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Most buckets of a literal, most buckets whose weights are broadcast, and the buckets of a broadcast row.
+LITERAL, BROADCAST, BLOCK = 1 << 16, 1 << 24, 1 << 12
+#: One in so many n-gram hashes is counted to size the table.
+SIZING = 64
+#: Weights of a table are whole multiples of 1 / UNIT, so that their sums do not depend on the order.
+UNIT = 1 << 32
 
 
 @dataclass(frozen=True)
 class LlrModel:
-    """Log ratios by bucket, and the score from which a document is kept."""
+    """Log ratios by bucket, and the score from which a document is kept.
+
+    A model of more than LITERAL buckets has no weights but a table (block, own: the weights of its buckets).
+    """
 
     weights: tuple[float, ...]
     threshold: float
+    table: DataFrame | None = None
+    buckets: int = 0
+    unseen: int = 0
 
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """buckets: size of the hashed distributions. target_rows: bound of the trusted sample.
+    """buckets: least size of the hashed distributions. load: most distinct n-grams to a bucket, on average.
+
+    target_rows: bound of the trusted sample.
 
     threshold: least mean log ratio of a kept document. smoothing: added to each bucket's count.
     """
@@ -49,6 +66,7 @@ class QualityConfig:
     smoothing: float = 1.0
     min_words: int = 20
     max_repeat_percent: int = 30
+    load: int = 16
 
 
 def _hashes(words: Column) -> Column:
@@ -65,15 +83,23 @@ def _indices(first: Column | int, last: Column) -> Column:
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
-def ngram_buckets(words: Column, buckets: int) -> Column:
-    """Buckets of all unigrams and bigrams."""
-    return let(
-        _hashes(words),
-        lambda h: F.concat(
-            F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int")),
-            F.transform(_indices(0, F.size(h) - 2), lambda i: F.pmod(_bigram(h, i), F.lit(buckets)).cast("int")),
-        ),
-    )
+def ngram_hashes(words: Column) -> Column:
+    """Hashes of all unigrams and bigrams."""
+    return let(_hashes(words), lambda h: F.concat(h, F.transform(_indices(0, F.size(h) - 2), lambda i: _bigram(h, i))))
+
+
+def buckets_for(docs: DataFrame, config: QualityConfig, text_col: str = "text") -> int:
+    """The least config.buckets * 2 ** n that hold the distinct n-grams of docs at config.load to a bucket.
+
+    Their number is estimated from all that have a hash in one of SIZING classes.
+    """
+    # the highest bits: a bucket is the lowest ones
+    own = F.filter(ngram_hashes(words_of(F.col(text_col))), lambda h: F.shiftrightunsigned(h, 64 - SIZING.bit_length() + 1) == 0)
+    distinct = SIZING * docs.select(F.explode(own).alias("h")).distinct().count()
+    buckets = config.buckets
+    while buckets * config.load < distinct:
+        buckets *= 2
+    return buckets
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -136,29 +162,76 @@ def trusted_ids(labels: DataFrame, rows: int, id_col: str = "doc_id") -> DataFra
 
 def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig(), id_col: str = "doc_id", text_col: str = "text") -> LlrModel:
     """Counts every n-gram of every document, once for the raw corpus and once for the trusted documents."""
+    buckets = buckets_for(docs, config, text_col)
     trusted = F.broadcast(trusted_ids(labels, config.target_rows, id_col))
-    rows = (
+    counts = (
         docs.select(F.col(id_col).alias("__fq_key"), F.col(text_col).alias("__fq_text"))
         .join(trusted, F.col("__fq_key") == F.col("__fq_id"), "left")
         .select(
-            F.explode(ngram_buckets(words_of(F.col("__fq_text")), config.buckets)).alias("bucket"),
+            F.explode(ngram_hashes(words_of(F.col("__fq_text")))).alias("h"),
             F.col("__fq_trusted").isNotNull().cast("long").alias("good"),
         )
-        .groupBy("bucket")
+        .groupBy(F.pmod("h", F.lit(buckets)).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
-        .collect()  # one row for each bucket at most
     )
-    raw, target = [0] * config.buckets, [0] * config.buckets
-    for row in rows:
+    a = config.smoothing
+    if buckets > LITERAL:
+        counts = written(counts, "quality-counts")
+        sums = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
+        if not sums["target"]:
+            return LlrModel((0.0,), config.threshold)
+        shift = math.log(sums["raw"] + a * buckets) - math.log(sums["target"] + a * buckets)
+        return _table_model(counts, buckets, shift, config)
+    raw, target = [0] * buckets, [0] * buckets
+    for row in counts.collect():  # one row for each bucket at most
         raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
     if not sum(target):
-        return LlrModel((0.0,) * config.buckets, config.threshold)
-    a = config.smoothing
-    shift = math.log(sum(raw) + a * config.buckets) - math.log(sum(target) + a * config.buckets)
+        return LlrModel((0.0,) * buckets, config.threshold)
+    shift = math.log(sum(raw) + a * buckets) - math.log(sum(target) + a * buckets)
     weights = tuple(math.log((t + a) / (r + a)) + shift for t, r in zip(target, raw, strict=True))
     return LlrModel(weights, config.threshold)
 
 
+def _table_model(counts: DataFrame, buckets: int, shift: float, config: QualityConfig) -> LlrModel:
+    a, unseen = F.lit(config.smoothing), round(shift * UNIT)
+    weight = F.round((F.log((F.col("target") + a) / (F.col("raw") + a)) + F.lit(shift)) * F.lit(float(UNIT))).cast("long")
+    own = counts.select("bucket", weight.alias("w"))
+    if buckets <= BROADCAST:
+        every = counts.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(own, "bucket", "left")
+        rows = every.groupBy(F.floor(F.col("bucket") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("w", F.lit(unseen)).alias("w")))).alias("s"))
+        table = rows.select("block", F.col("s.w").alias("own"))
+    else:
+        table = own.select(F.col("bucket").alias("block"), F.array("w").alias("own"))
+    return LlrModel((), config.threshold, written(table, "quality-weights"), buckets, unseen)
+
+
+def _text_key(text: Column) -> Column:
+    """Two independent hashes, 96 bits: texts that share them share their score."""
+    return F.struct(F.xxhash64(text).alias("x"), F.hash(text).alias("m"))
+
+
+def _table_scores(docs: DataFrame, model: LlrModel, text_col: str) -> DataFrame:
+    """(__fq_x, __fq_m, __fq_score) of every text that has words, for a model with a table."""
+    wide = BLOCK if model.buckets <= BROADCAST else 1
+    key = _text_key(F.col(text_col))
+    # hashes of the text come before the explode, or they are computed for every n-gram
+    grams = docs.select(key["x"].alias("__fq_x"), key["m"].alias("__fq_m"), ngram_hashes(words_of(F.col(text_col))).alias("hs"))
+    grams = grams.select("__fq_x", "__fq_m", F.explode("hs").alias("h"))
+    grams = grams.select("__fq_x", "__fq_m", F.pmod("h", F.lit(model.buckets)).alias("bucket"))
+    grams = grams.select("__fq_x", "__fq_m", F.floor(F.col("bucket") / wide).alias("block"), (F.col("bucket") % wide).cast("int").alias("at"))
+    table = F.broadcast(model.table) if wide > 1 else model.table
+    weight = F.coalesce(F.get("own", F.col("at")), F.lit(model.unseen))
+    sums = grams.join(table, "block", "left").groupBy("__fq_x", "__fq_m").agg(F.sum(weight).alias("s"), F.count(F.lit(1)).alias("n"))
+    return sums.select("__fq_x", "__fq_m", (F.col("s") / F.col("n") / F.lit(float(UNIT))).alias("__fq_score"))
+
+
+def _with_scores(rows: DataFrame, docs: DataFrame, model: LlrModel, text_col: str) -> DataFrame:
+    """rows, which have __fq_x and __fq_m, with the score of their text as __fq_score; 0 for a text without words."""
+    scores = _table_scores(docs, model, text_col)
+    joined = rows.join(scores.withColumnsRenamed({"__fq_x": "__fq_x2", "__fq_m": "__fq_m2"}), (F.col("__fq_x") == F.col("__fq_x2")) & (F.col("__fq_m") == F.col("__fq_m2")), "left")
+    return joined.withColumn("__fq_score", F.coalesce("__fq_score", F.lit(0.0)))
+
+
 def features(text: Column, model: LlrModel, config: QualityConfig = QualityConfig()) -> Column:
     """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed and kept."""
     plain = F.coalesce(text, F.lit(""))
@@ -169,7 +242,7 @@ def features(text: Column, model: LlrModel, config: QualityConfig = QualityConfi
         return F.struct(
             F.size(h).cast("long").alias("n_words"),
             repeated_words(h).alias("n_repeat_words"),
-            mean_log_ratio(h, model).alias("score"),
+            (mean_log_ratio(h, model) if model.table is None else F.lit(0.0)).alias("score"),
         )
 
     def verdict(x: Column) -> Column:
@@ -190,10 +263,20 @@ def features(text: Column, model: LlrModel, config: QualityConfig = QualityConfi
 
 def score(docs: DataFrame, model: LlrModel, config: QualityConfig = QualityConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and the features of every row."""
+    if model.table is not None:
+        key = _text_key(F.col(text_col))
+        rows = docs.select(F.col(id_col), key["x"].alias("__fq_x"), key["m"].alias("__fq_m"), features(F.col(text_col), model, config).alias("__fq_f"))
+        own = _with_scores(rows, docs, model, text_col)
+        kept = ~F.col("__fq_f")["base_failed"] & (F.col("__fq_score") >= F.lit(model.threshold))
+        return own.select(id_col, F.col("__fq_f").withField("score", F.col("__fq_score")).withField("kept", kept).alias("__fq_f")).select(id_col, "__fq_f.*")
     return docs.select(F.col(id_col), features(F.col(text_col), model, config).alias("__fq_f")).select(id_col, "__fq_f.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
     model = fit(docs, labels, config)
+    if model.table is not None:
+        key = _text_key(F.col("text"))
+        rows = docs.filter(~features(F.col("text"), model, config)["base_failed"]).withColumns({"__fq_x": key["x"], "__fq_m": key["m"]})
+        return _with_scores(rows, docs, model, "text").filter(F.col("__fq_score") >= F.lit(model.threshold)).select(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.filter(features(F.col("text"), model, config)["kept"])

@@ -1,6 +1,7 @@
 """op7 and op8 against plain Python."""
 
 import math
+import random
 import re
 
 from flowquarry.llm import quality_llr, raking
@@ -84,3 +85,28 @@ def test_mix(docs, rows, empty):
     assert sample.columns == docs.columns and 0 < sample.count() < len(rows)
     assert sorted(map(repr, sample.collect())) == sorted(map(repr, raking.sample_mix(docs).collect()))
     assert raking.mix(empty).count() == 0
+
+
+def test_rejection_does_not_fall_with_size(spark, monkeypatch):
+    """Good and bad documents with words of their own: buckets grow with the n-grams, in every way to look weights up."""
+    config = quality_llr.QualityConfig(buckets=64)
+
+    def made(n):
+        rnd = random.Random(n)
+        return [(i, " ".join(f"{'bad' if i % 4 == 0 else 'good'}{int(2 * n * rnd.random() ** 3)}" for _ in range(60))) for i in range(n)]
+
+    def rejected(n):
+        docs = spark.createDataFrame(made(n), "doc_id long, text string").repartition(3)
+        labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(n)], "doc_id long, quality int, toxic int")
+        model = quality_llr.fit(docs, labels, config)
+        scored = {r.doc_id: (round(r.score, 6), r.kept) for r in quality_llr.score(docs, model, config).collect()}
+        assert len(scored) == n and {r.doc_id for r in quality_llr.keep_good(docs, labels, config).collect()} == {i for i, x in scored.items() if x[1]}
+        bad = [i for i in scored if i % 4 == 0]
+        return sum(not scored[i][1] for i in bad) / len(bad), scored
+
+    small, large = rejected(20), rejected(600)
+    assert large[0] >= small[0] == 1.0 and sum(x[1] for x in large[1].values()) == 450
+    for broadcast in (1 << 24, 0):
+        monkeypatch.setattr(quality_llr, "LITERAL", 0)
+        monkeypatch.setattr(quality_llr, "BROADCAST", broadcast)
+        assert rejected(600) == large
