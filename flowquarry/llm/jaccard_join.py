@@ -141,14 +141,14 @@ def _sets(docs: DataFrame, ranks, k: int, percent: int) -> DataFrame:
 
 
 def _only_sets(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, text, key) whose text has the set named by key."""
+    """Rows (rep, text, key) whose text has the set named by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             same = [_set_key(s) == key for s, key in zip(shingle_sets(batch.column("text"), k), batch.column("key").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(same, pa.bool_())).select(["doc_id", "text"])
+            yield batch.filter(pa.array(same, pa.bool_())).select(["rep", "text"])
 
-    return docs.mapInArrow(run, "doc_id long, text string")
+    return docs.mapInArrow(run, "rep long, text string")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -179,8 +179,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                     link.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(link, pa.bool_())], ["a", "b", "link"])
 
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    full = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    left = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+    full = left.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, link boolean")
 
 
@@ -200,7 +200,7 @@ def _can_link(x: str, y: str, percent: int):
 
 
 def class_links(classes: DataFrame, texts_of: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (u, v) between set classes (rep, n, key, prefix) that yield their components."""
+    """Edges (u, v) between set classes (rep, their number; doc_id of one row; n, key, prefix) that yield their components."""
     # a set of which too much is its own is like no other
     hopeful = classes.filter((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent)
     postings = hopeful.select("rep", "n", F.col("alone").alias("u"), F.posexplode("prefix").alias("pos", "shingle")).filter("pos >= u")
@@ -219,9 +219,9 @@ def class_links(classes: DataFrame, texts_of: DataFrame, k: int, percent: int) -
         .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
         .distinct()
     )
-    wanted = shared.select("rep").distinct().join(classes.select("rep", "key"), "rep")
-    found = texts_of.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
-    texts = written(_only_sets(found, k).dropDuplicates(["doc_id"]), "candidate-texts")
+    wanted = shared.select("rep").distinct().join(classes.select("rep", "doc_id", "key"), "rep")
+    found = texts_of.join(wanted, "doc_id")
+    texts = written(_only_sets(found, k).dropDuplicates(["rep"]), "candidate-texts")
     tried = written(_verified(stars, texts, k, percent), "tried-pairs")
     links = tried.filter("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
     # the second round: pairs of a bucket whose components still differ
@@ -265,17 +265,22 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     ranks = docs.sparkSession.sparkContext.broadcast(shingle_ranks(slim, k))
     sets = written(_sets(slim, ranks, k, percent), "shingle-sets")
     usable = sets.filter("doc_id is not null and n > 0")
-    classes = usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("alone").alias("alone"), F.first("prefix").alias("prefix"))
-    classes = written(classes, "set-classes")
+    classes = usable.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("alone").alias("alone"), F.first("prefix").alias("prefix"))
+    # an identifier can be the least of several classes; their numbers are fixed once written
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "set-classes")
     edges = class_links(classes, slim.filter("doc_id is not null"), k, percent)
     members = usable.select("doc_id", "key").join(classes.select("key", "rep"), "key")
     # an identifier with several texts ties their classes together
-    ties = members.filter("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
-    ties = ties.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
+    ties = members.join(several, "doc_id").filter("rep <> lo").select(F.col("rep").alias("u"), F.col("lo").alias("v")).distinct()
     comp = written(components(edges.union(ties)), "components")
+    # a component is named by its smallest identifier
+    named = classes.select("rep", "doc_id").join(comp, F.col("rep") == F.col("node"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
+    own = named.select("rep", "component").join(least, "component").select(F.col("rep").alias("node"), "least")
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
-    out = rows.join(classes.select("key", "rep"), "key", "left").join(comp, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = rows.join(classes.select("key", "rep", F.col("doc_id").alias("first")), "key", "left").join(own, F.col("rep") == F.col("node"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "first", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -133,3 +133,12 @@ def test_order_and_repeats_matter(spark):
     near = {r.i: r.x for r in df.select("i", order_minhash.likeness(F.col("a"), F.col("b")).alias("x")).collect()}
     assert near[0] == 1.0 and near[9] == 1.0 and near[5] == 0.0
     assert near[1] > 0.8 and near[1] > near[2] > near[3] and near[4] < 1.0
+
+
+def test_one_identifier_on_different_texts(spark):
+    """Each text of an identifier links what it is like, and all of them are one component."""
+    texts = [[f"t{n}w{i}" for i in range(40)] for n in range(5)]
+    rows = [(1, " ".join(texts[0])), (1, " ".join(texts[1])), (2, " ".join(texts[0][:-1])), (3, " ".join(texts[1][:-1]))]
+    rows += [(7, " ".join(t)) for t in texts[2:]] + [(n + 4, " ".join(t[1:])) for n, t in enumerate(texts[2:])] + [(9, " ".join(texts[4]) + " tail")]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.linked_documents(spark.createDataFrame(rows, "doc_id long, text string"), 1, 90).collect()}
+    assert got == {(i, 1) for i in (1, 2, 3)} | {(i, 4) for i in (4, 5, 6, 7, 9)}
