@@ -48,7 +48,7 @@ def direction(src_port: Column, dst_port: Column) -> Column:
     return F.when(dst_port <= src_port, "client").otherwise("server")
 
 
-def unrecognised_first(packets: DataFrame, key: list[str] = FLOW_KEY, order: str = "pkt_no", most: int = 256) -> DataFrame:
-    """the first data of flows of no known protocol, its first bytes."""
+def unrecognised_first(packets: DataFrame, key: list[str] = FLOW_KEY, order: str = "pkt_no") -> DataFrame:
+    """the first data of flows of no known protocol, whole; only a CBOR record cuts it to 256 bytes."""
     w = Window.partitionBy(*key).orderBy("ts", order)
-    return packets.withColumn("__fq_n", F.row_number().over(w)).filter("__fq_n = 1 and msg_type is null").drop("__fq_n").withColumn("data", F.substring("data", 1, most))
+    return packets.withColumn("__fq_n", F.row_number().over(w)).filter("__fq_n = 1 and msg_type is null").drop("__fq_n")

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from flowquarry.operators import reassembly as ra
-from flowquarry.operators import stats
+from flowquarry.operators import state, stats
 from flowquarry.streaming import flows as st
 from tests.test_parse import hello
 
@@ -124,3 +124,8 @@ def test_quic_round_trip():
     got = quic.parse_initial(packet)
     assert got["server_name"] == "a.example" and got["fingerprint"].startswith("quic/(00000001)(0303)(0a0a1301c02b)[(0000)")
     assert quic.parse_initial(packet[:200] + b"x" + packet[201:]) is None
+
+
+def test_unrecognised_data_is_whole(spark):
+    df = spark.createDataFrame([("a", "b", 1, 2, 6, 0, 0.0, None, b"x" * 700), ("a", "b", 1, 2, 6, 1, 1.0, None, b"y")], "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, pkt_no long, ts double, msg_type string, data binary")
+    assert [bytes(r.data) for r in state.unrecognised_first(df).collect()] == [b"x" * 700]
