@@ -155,8 +155,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     ctes, mixed = mix_sql("documents")
     return {
-        "op1_token_shards": op1_token_shards,
-        "op2_token_count": op2_token_count,
         "op3_line_dedup": _OP3,
         "op10_jaccard_join": f"WITH RECURSIVE {jaccard_sql('documents', 3, 90)}\nSELECT doc_id, n_shingles, component_id FROM linked",
         "op8_mix_sources": f"WITH {ctes}\nSELECT doc_id, source, lang, topic, n_tokens, rate, kept FROM {mixed}",
