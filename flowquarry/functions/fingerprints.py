@@ -1,4 +1,4 @@
-"""Fingerprint strings (X9, X10, FP2, FP16-FP19, FP22) as column expressions."""
+"""Fingerprint strings (X9, X10, FP2, FP16-FP19; FP22 is not built) as column expressions."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Reassembly of messages that span packets (T4-T10), as grouped state over a flow's segments.
+"""Reassembly of TLS handshakes that span TCP segments (T4, T7-T10; T5 and T6 are not built), as grouped state over a flow's segments.
 
 A flow's segments are bounded by what the operator keeps: 20 segments, 8192 bytes and 15 seconds
 from its start. Those limits belong to the operator's semantics; what lies beyond them is reported
