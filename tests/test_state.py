@@ -1,11 +1,13 @@
 """Reassembly and streams."""
 
+import math
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from flowquarry.operators import reassembly as ra
 from flowquarry.operators import state, stats
+from flowquarry.plans import queries as plans
 from flowquarry.streaming import flows as st
 from tests.test_parse import hello
 
@@ -129,3 +131,14 @@ def test_quic_round_trip():
 def test_unrecognised_data_is_whole(spark):
     df = spark.createDataFrame([("a", "b", 1, 2, 6, 0, 0.0, None, b"x" * 700), ("a", "b", 1, 2, 6, 1, 1.0, None, b"y")], "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, pkt_no long, ts double, msg_type string, data binary")
     assert [bytes(r.data) for r in state.unrecognised_first(df).collect()] == [b"x" * 700]
+
+
+def test_batch_gcd_takes_every_supplier(spark, tmp_path):
+    keys = [*range(1, 30), *range(290, 420)]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    line = {}
+    for k in keys:
+        line.setdefault((2 * k + 101) * (2 * (k % 37) + 10007), k)
+    want = {(a, b, format(math.gcd(m, n), "x")) for m, a in line.items() for n, b in line.items() if a != b and math.gcd(m, n) > 1}
+    got = [tuple(r) for r in plans.QUERIES["batch_gcd"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and max(want)[0] > 300
