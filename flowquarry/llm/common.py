@@ -44,6 +44,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def delete_table(df: DataFrame) -> None:
+    """Deletes a table of `written` that nothing reads any more."""
+    delete_path(df.sparkSession, df._flowquarry_path)
+
+
 @contextmanager
 def eager(spark: SparkSession):
     """Inside, shuffle files of a finished action are removed at once instead of when the driver collects garbage."""
@@ -66,7 +71,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     del df
     gc.collect()
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    table = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    table._flowquarry_path = path
+    return table
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -9,25 +9,27 @@ prefix are updated along with it, one symbol longer each round. Beyond `memory_s
 read and write their files in the shared folder in chunks.
 
 Rounds are as many as the longest string has symbols, so documents are not inserted as they are.
-They are cut where the minimiser changes: the least hash among the windows of M bytes of a string of
-SPAN bytes, the leftmost of equal ones. Equal strings of SPAN bytes have equal minimisers, so the
-pieces of one minimiser, at most 2 SPAN - M bytes long, form a collection of their own, and
-collections are spread by minimiser.
-
-What cannot match is left out before, exactly. A string of SPAN bytes has SIDE bytes or more on one
-side of its minimiser, so a piece matters only if a different text has its minimiser with the same
-SIDE bytes to the right, or to the left. That is decided by sorting hashes in slices of the hash
-range, one task for each; false agreement costs work and removes nothing. Later copies of a whole
-text are not cut: all of it goes. Equal pieces are one string with the smallest identifier of their
-documents. Of a minimiser with very many different pieces, the single strings of SPAN bytes are
-spread instead.
-
-Texts travel in compressed batches, so the joins back to them handle few rows.
+Each string of SPAN bytes has a core: its minimiser, the least hash among its windows of M bytes,
+the leftmost of equal ones, with the SIDE bytes to the right of it if the string holds them, else
+with those to the left of it. Equal strings have equal cores. Texts are cut where the core changes,
+into pieces of at most WIDTH bytes, and the pieces of one core form a collection of their own.
+
+What cannot match is left out before, exactly: a piece matters only if another text has its core.
+That is decided by hashes of cores, in slices of the hash range; false agreement costs work and
+removes nothing. Later copies of a whole text are not cut: all of it goes. Equal pieces of more than
+SPAN bytes are one string with the smallest identifier of their documents. Of a core that stands in
+more than HOT_PIECES places the single strings of SPAN bytes are dealt out by hashes of their own,
+so that no core fills a task; they too are sorted by the construction, ungrouped.
+
+Slices are as many as the input has SLICE bytes. Texts travel in compressed batches and pieces in
+one row for each batch and slice, so joins and shuffles handle few rows. A worker holds one slice,
+and sorts collections of up to `memory_suffixes` bytes at a time.
 
 Defined results: matches never cross documents; a null text counts as empty; documents with equal
 identifier remove nothing from each other; null identifiers count as larger than all others; rows
 with equal identifier and text get the same result each; other columns are ignored; an empty table
-gives no rows.
+gives no rows. A text of one repeated letter, or of one short repeated passage, makes few distinct
+pieces, however long it is.
 """
 
 from __future__ import annotations
@@ -44,17 +46,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import cluster_partitions, new_path, written
+from flowquarry.llm.common import cluster_partitions, delete_table, new_path, written
 from flowquarry.llm.shingles import mix, text_bytes
 from flowquarry.llm.spec_bpe import pieces
 
 SPAN = 50
 M = 24
-SIDE = (SPAN - M + 1) // 2
+SIDE = (SPAN - M) // 2
+WIDTH = 64  # bytes of a piece, at most
+MOST = WIDTH - SPAN  # strings of SPAN bytes in a piece, at most
+RANGE = 1 << 18  # bytes whose hashes are held at once
+SLICE = 1 << 22
 HOT_PIECES = 50_000
-_U = np.uint64
-_BYTE = mix(np.arange(7001, 7257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 LAST_ID = (1 << 63) - 1
+_U = np.uint64
+_BYTE = mix(np.arange(7001, 7257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)).astype(np.uint32)
+_MIXERS = mix(np.arange(9001, 9017, dtype=np.uint64)) | _U(1)
 
 
 # --- batches and pieces of documents ------------------------------------------------------------------
@@ -73,7 +80,7 @@ def _batches(docs: DataFrame) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(c)) for c in ("doc_id", "dk", "th", "h2")]
             sizes = pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), pa.array(np.diff(offsets)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), *lists, sizes, pa.array([pack.compress(data.tobytes())], pa.binary())],
+                [pa.array([number]), *lists, sizes, pa.array([pack.compress(data)], pa.binary())],
                 ["bid", "doc_ids", "dks", "ths", "h2s", "sizes", "blob"],
             )
             number += 1
@@ -87,152 +94,279 @@ def _unpacked(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Pieces of the texts in data: text number, start in data, number of strings of SPAN bytes, minimiser,
-    and hashes of the minimiser with the SIDE bytes to its right and to its left."""
-    n, w = len(data) - SPAN + 1, SPAN - M + 1
-    none = np.empty(0, np.int64)
-    if n <= 0:
-        return none, none, none, none.view(np.uint64), none.astype(np.uint32), none.astype(np.uint32)
-    h8 = _BYTE[data]
-    for step, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9)):
-        h8 = h8[:-step] * _U(factor) + h8[step:]
-    h = mix(h8[: -M + 8] * _U(0x27D4EB2F165667C5) + h8[8 : len(h8) - M + 16] * _U(0x85EBCA77C2B2AE63) + h8[M - 8 :])
-    low = h
+def _live(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts to cut, all but later copies and short ones: bytes, offsets, where each stands in its batch, identifiers."""
+    data, offsets = _unpacked(batch, k)
+    sizes = np.diff(offsets)
+    keep = sizes >= SPAN
+    keep[np.array(batch.column("skip")[k].as_py() or [], np.int64)] = False
+    own = np.flatnonzero(keep)
+    dks = batch.column("dks")[k].values.to_numpy(zero_copy_only=False)
+    return data[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[own])]), offsets[own], dks[own]
+
+
+def _range_pieces(d: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of the valid strings of SPAN bytes in d: start, number of strings, core."""
+    h8 = _BYTE[d]
+    for step, factor in ((1, 0x9E3779B1), (2, 0xC2B2AE35), (4, 0x165667B1)):
+        h8 = h8[:-step] * np.uint32(factor) + h8[step:]
+    h = h8[: len(d) - M + 1] * np.uint32(0x27D4EB2F) + h8[8 : len(d) - M + 9] * np.uint32(0x85EBCA77) + h8[16:] * np.uint32(0x2C1B3C6D)
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x7FEB352D)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x846CA68B)
+    h ^= h >> np.uint32(16)
+    low = (h.astype(np.uint64) << _U(32)) | np.arange(len(h), dtype=np.uint64)  # the least hash, and where it stands first
+    w = SPAN - M + 1
     for step in (1, 2, 4, 8):
         low = np.minimum(low[:-step], low[step:])
-    low = np.minimum(low[: -(w - 16)], low[w - 16 :])  # of the w windows of M bytes in each string of SPAN
-    lengths = np.diff(offsets)
-    good = np.maximum(0, lengths - SPAN + 1)
-    doc = np.repeat(np.arange(len(lengths)), good)
-    at = np.repeat(offsets[:-1] - (np.cumsum(good) - good), good) + np.arange(int(good.sum()))
-    if not len(at):
-        return cut(data[:0], offsets[:1])
-    value = low[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(at)))
-
-    def leftmost(start: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """Where the minimiser of the string at start stands first."""
-        out = np.full(len(start), -1)
-        for k in range(w - 1, -1, -1):
-            out = np.where(h[start + k] == least, start + k, out)
-        return out
-
-    start, least, owner = at[first], value[first], doc[first]
-    p = leftmost(start, least)
-    twice = leftmost(start + size - 1, least) != p  # the minimiser recurs: one piece for each string
-    if twice.any():
-        more = np.repeat(first[twice], size[twice]) + np.arange(int(size[twice].sum())) - np.repeat(np.cumsum(size[twice]) - size[twice], size[twice])
-        start, size = np.concatenate([start[~twice], at[more]]), np.concatenate([size[~twice], np.ones(len(more), np.int64)])
-        least, owner = np.concatenate([least[~twice], value[more]]), np.concatenate([owner[~twice], doc[more]])
-        p = np.concatenate([p[~twice], leftmost(at[more], value[more])])
-        order = np.argsort(start, kind="stable")
-        start, size, least, owner, p = start[order], size[order], least[order], owner[order], p[order]
-
-    def side(begin: np.ndarray, ok: np.ndarray, salt: int) -> np.ndarray:
-        b = np.clip(begin, 0, len(h8) - (SIDE - 7))
-        key = mix(least * _BYTE[salt] + h8[b] * _BYTE[1] + h8[b + SIDE - 8])
-        alone = mix(start.astype(np.uint64) * _BYTE[2] + _BYTE[salt])  # no such side: agrees with none, but by chance
-        return (np.where(ok, key, alone) >> _U(32)).astype(np.uint32)
-
-    right = side(p + M, p + M + SIDE <= offsets[owner + 1], 3)
-    left = side(p - SIDE, p - SIDE >= offsets[owner], 4)
-    return owner, start, size, least, right, left
-
-
-def _slices(least: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The slice of each minimiser, and the order that puts slices together."""
-    s = (mix(least) % _U(n)).astype(np.int64)
-    return s, np.argsort(s, kind="stable")
-
-
-def _anchors(batches_: DataFrame, n: int) -> DataFrame:
-    """For each batch and slice the hashes of the pieces' sides and their texts."""
+    low = np.minimum(low[: -(w - 16)], low[w - 16 :])
+    at = np.flatnonzero(valid)
+    p = (low[at] & _U(0xFFFFFFFF)).astype(np.int64)
+    group = 2 * p + (p - at <= SIDE)
+    first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (np.diff(at) != 1)]))
+    start, size, p, right = at[first], np.diff(np.append(first, len(at))), p[first], (group[first] & 1).astype(bool)
+    one = np.where(right, p + M, p - SIDE)
+    core = h[p].astype(np.uint64) * _MIXERS[0] + h8[one].astype(np.uint64) * _MIXERS[1] + h8[one + SIDE - 8].astype(np.uint64) * _MIXERS[2]
+    core = mix(core + h8[p].astype(np.uint64) * _MIXERS[3] + h8[p + 12].astype(np.uint64) * _MIXERS[4] + np.where(right, _MIXERS[5], _MIXERS[6]))
+    again = (core[1:] == core[:-1]) & (start[1:] == start[:-1] + size[:-1])
+    if again.any():  # the same core again and again, as in runs of one letter
+        first = np.flatnonzero(np.concatenate([[True], ~again]))
+        start, size, core = start[first], np.add.reduceat(size, first), core[first]
+        parts = -(-size // MOST)
+        k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, core, size = np.repeat(start, parts) + k * MOST, np.repeat(core, parts), np.minimum(MOST, np.repeat(size, parts) - k * MOST)
+    return start, size, core
+
+
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of the texts in data: start in data, number of strings of SPAN bytes, core."""
+    out = []
+    for a in range(0, len(data) - SPAN + 1, RANGE):
+        d = data[a : a + RANGE + SPAN - 1]
+        n = len(d) - SPAN + 1
+        ends = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, a + len(d), "left")] - a
+        over = np.zeros(n + 1, np.int32)  # strings that a text's end cuts through
+        np.add.at(over, np.clip(ends - SPAN + 1, 0, n), 1)
+        np.add.at(over, np.clip(ends, 0, n), -1)
+        valid = np.cumsum(over[:-1]) == 0
+        if valid.any():
+            start, size, core = _range_pieces(d, valid)
+            out.append((start + a, size, core))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _slice_of(core: np.ndarray, s: int) -> np.ndarray:
+    return ((core >> _U(32)) * _U(s) >> _U(32)).astype(np.int64)
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+
+
+def _slices(core: np.ndarray, s: int) -> tuple[list[int], list[int]]:
+    """The slices of cores in order, and where each begins; the last edge is the end."""
+    own = _slice_of(core, s)
+    first = _firsts(own)
+    return own[first].tolist(), [*first.tolist(), len(own)]
+
+
+def _in_order(start: np.ndarray, core: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of pieces by core, where each core begins in it, and the text of each piece in it."""
+    order = np.argsort(core, kind="stable")
+    return order, _firsts(core[order]), np.searchsorted(offsets, start[order], "right") - 1
+
+
+def _anchors(texts: DataFrame, s: int) -> DataFrame:
+    """For each batch and slice its distinct cores, how often each stands there, and which stand in several texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                doc, _, _, least, right, left = cut(*_unpacked(batch, k))
-                s, order = _slices(least, n)
-                edges = np.searchsorted(s[order], np.arange(n + 1))
-                ths = batch.column("ths")[k].values.to_numpy(zero_copy_only=False)
-                rows = []
-                for i in np.flatnonzero(np.diff(edges)).tolist():
-                    own = order[edges[i] : edges[i + 1]]
-                    d = doc[own]
-                    used, index = np.unique(d, return_inverse=True)
-                    rows.append((i, right[own].tobytes() + left[own].tobytes(), index.astype("<u2").tobytes(), ths[used].tobytes()))
-                if rows:
-                    i, keys, index, texts = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch.column("bid")[k].as_py()] * len(rows)), pa.array(i, pa.int32()), *(pa.array(x, pa.binary()) for x in (keys, index, texts))],
-                        ["bid", "slice", "keys", "index", "texts"],
-                    )
+                data, offsets, _, _ = _live(batch, k)
+                start, _, core = cut(data, offsets)
+                if not len(start):
+                    continue
+                order, first, doc = _in_order(start, core, offsets)
+                count = np.minimum(np.diff(np.append(first, len(order))), 0x7FFF).astype(np.uint16)
+                several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+                marks = count | (several.astype(np.uint16) << np.uint16(15))
+                distinct = core[order[first]]
+                keys = distinct.astype(np.uint32)  # the lower half; the upper half names the slice
+                used, edges = _slices(distinct, s)
+                spans = list(zip(edges, edges[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(used), batch.column("bid")[k].as_py(), np.int64)),
+                        pa.array(used, pa.int32()),
+                        pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
+                        pa.array([marks[a:b].tobytes() for a, b in spans], pa.binary()),
+                    ],
+                    ["bid", "slice", "keys", "marks"],
+                )
 
-    return batches_.mapInArrow(run, "bid long, slice int, keys binary, index binary, texts binary")
+    return texts.mapInArrow(run, "bid long, slice int, keys binary, marks binary")
 
 
-def _agreeing(keys: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Which keys two different texts have."""
-    order = np.argsort(keys)
-    first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
-    own = texts[order]
-    differ = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-    out = np.zeros(len(keys), bool)
-    out[order] = np.repeat(differ, np.diff(np.append(first, len(keys))))
-    return out
+def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows come sorted by slice: the rows of one slice at a time."""
+    held, now = [], None
+    for batch in batches:
+        at = batch.schema.get_field_index("slice")
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[at] != now:
+                if held:
+                    yield now, held
+                held, now = [], row[at]
+            held.append(row)
+    if held:
+        yield now, held
 
 
-def _flags(anchors: DataFrame, n: int) -> DataFrame:
-    """For each batch and slice the pieces that may match another text, one bit each."""
+def _flags(anchors: DataFrame, n: int, hot: int) -> DataFrame:
+    """For each batch and slice the cores that another text has too, and which of these stand in many places, a bit each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list] = {}
-        for batch in batches:
-            for bid, s, keys, index, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k = np.frombuffer(keys, np.uint32)
-                by.setdefault(s, []).append((bid, k[: len(k) // 2], k[len(k) // 2 :], np.frombuffer(texts, np.int64)[np.frombuffer(index, "<u2")]))
-        for s, rows in by.items():
-            texts = np.concatenate([r[3] for r in rows])
-            found = _agreeing(np.concatenate([r[1] for r in rows]), texts) | _agreeing(np.concatenate([r[2] for r in rows]), texts)
-            parts = np.split(found, np.cumsum([len(r[3]) for r in rows])[:-1])
+        for s, rows in _by_slice(batches):
+            keys = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
+            marks = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows])
+            order = np.argsort(keys, kind="stable")
+            first = _firsts(keys[order])
+            times = np.diff(np.append(first, len(order)))
+            marks = marks[order]
+            shared = (times > 1) | (np.maximum.reduceat(marks, first) > 0x7FFF)
+            many = shared & (np.add.reduceat((marks & np.uint16(0x7FFF)).astype(np.int64), first) > hot)
+            out = np.zeros((2, len(keys)), bool)
+            out[0][order], out[1][order] = np.repeat(shared, times), np.repeat(many, times)
+            edges = np.cumsum([0, *(len(r[2]) // 4 for r in rows)]).tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows]), pa.array([s] * len(rows), pa.int32()), pa.array([np.packbits(f).tobytes() for f in parts], pa.binary())], ["bid", "slice", "bits"]
+                [
+                    pa.array([r[0] for r in rows], pa.int64()),
+                    pa.array([s] * len(rows), pa.int32()),
+                    *(pa.array([np.packbits(x[a:b]).tobytes() for a, b in zip(edges, edges[1:])], pa.binary()) for x in out),
+                ],
+                ["bid", "slice", "shared", "many"],
             )
 
-    return anchors.repartition(n, "slice").mapInArrow(run, "bid long, slice int, bits binary")
+    return anchors.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(run, "bid long, slice int, shared binary, many binary")
+
+
+def _matrix(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of each piece as a row of WIDTH bytes, zero behind its end."""
+    if len(data) < WIDTH or len(start) and start.max() + WIDTH > len(data):
+        data = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
+    windows = np.lib.stride_tricks.sliding_window_view(data, WIDTH)
+    out = np.empty((len(start), WIDTH), np.uint8)
+    for a in range(0, len(start), 1 << 14):
+        part = windows[start[a : a + (1 << 14)]]
+        part *= np.arange(WIDTH) < (size[a : a + (1 << 14)] + SPAN - 1)[:, None]
+        out[a : a + (1 << 14)] = part
+    return out
+
+
+def _names(matrix: np.ndarray, size: np.ndarray) -> np.ndarray:
+    wide = matrix.view(np.uint64)
+    out = size.astype(np.uint64)
+    for j in range(WIDTH // 8):
+        out = (out ^ (out >> _U(29))) * _MIXERS[8] + wide[:, j] * _MIXERS[j]
+    return mix(out)
+
+
+def _grouped(key: np.ndarray, matrix: np.ndarray, size: np.ndarray, single: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of strings by key, and where in it strings begin that differ from the one before. Singles always differ."""
+    order = np.argsort(key, kind="stable")
+    wide = matrix.view(np.uint64)[order]
+    new = np.ones(len(order), bool)
+    same = (size[order][1:] == size[order][:-1]) & (key[order][1:] == key[order][:-1])
+    for j in range(WIDTH // 8):
+        same &= wide[1:, j] == wide[:-1, j]
+    new[1:] = ~same
+    if single is not None:
+        new |= single[order]
+    return order, np.flatnonzero(new)
 
 
-def _piece_rows(batches_: DataFrame, n: int) -> DataFrame:
-    """The flagged pieces of batches with `flags` (slice, bits) and `skip`, the numbers of texts that are later copies."""
+def _packed_ids(ids: np.ndarray) -> bytes:
+    """Identifiers as differences to the least one, in 32 bits if they fit."""
+    least = int(ids.min())
+    far = ids.astype(np.uint64) - np.array(least).astype(np.uint64)
+    return np.int64(least).tobytes() + (far.astype(np.uint32) if far.max() < 1 << 32 else far).tobytes()
+
+
+def _unpacked_ids(raw: bytes, n: int) -> np.ndarray:
+    far = np.frombuffer(raw, np.uint32 if len(raw) == 8 + 4 * n else np.uint64, n, 8)
+    return (far.astype(np.uint64) + np.frombuffer(raw, np.int64, 1).astype(np.uint64)).astype(np.int64)
+
+
+PIECES = "bid long, slice int, cores binary, sizes binary, ids binary, strings binary, places binary, spans binary"
+
+
+def _piece_rows(texts: DataFrame, s: int) -> DataFrame:
+    """For each batch with its `flags` and slice the distinct strings that may match, with their least identifiers and places.
+
+    Places where an equal string stands in a smaller document of the same batch are spans already,
+    in rows with a negative slice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                data, offsets = _unpacked(batch, k)
-                doc, start, size, least, _, _ = cut(data, offsets)
-                s, order = _slices(least, n)
-                edges = np.searchsorted(s[order], np.arange(n + 1))
-                keep = np.zeros(len(doc), bool)
-                for flag in batch.column("flags")[k].as_py() or []:
-                    own = order[edges[flag["slice"]] : edges[flag["slice"] + 1]]
-                    keep[own] = np.unpackbits(np.frombuffer(flag["bits"], np.uint8), count=len(own)).astype(bool)
-                keep &= ~np.isin(doc, np.array(batch.column("skip")[k].as_py() or [], np.int64))
-                doc, start, size, least = doc[keep], start[keep], size[keep], least[keep]
-                length = size + SPAN - 1
-                to = np.concatenate([[0], np.cumsum(length)])
-                source = np.repeat(start - to[:-1], length) + np.arange(to[-1])
-                text = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[source]))])
-                dks = batch.column("dks")[k].values.to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(least.view(np.int64)), pa.array(np.full(len(doc), batch.column("bid")[k].as_py(), np.int64)), pa.array(doc), pa.array(dks[doc]), pa.array(start - offsets[doc]), text],
-                    ["m", "bid", "i", "dk", "start", "piece"],
-                )
+                data, offsets, begin, dks = _live(batch, k)
+                flags = sorted(batch.column("flags")[k].as_py() or [], key=lambda f: f["slice"])
+                if not flags:
+                    continue
+                start, size, core = cut(data, offsets)
+                order, first, _ = _in_order(start, core, offsets)
+                _, edges = _slices(core[order[first]], s)
+                bits = [
+                    np.concatenate([np.unpackbits(np.frombuffer(f[x], np.uint8), count=b - a) for f, a, b in zip(flags, edges, edges[1:])]).astype(bool)
+                    for x in ("shared", "many")
+                ]
+                each = np.diff(np.append(first, len(order)))
+                shared, many = np.zeros(len(order), bool), np.zeros(len(order), bool)
+                shared[order], many[order] = np.repeat(bits[0], each), np.repeat(bits[1], each)
+                start, size, core, many = start[shared], size[shared], core[shared], many[shared]
+                if not len(start):
+                    continue
+                if many.any():  # single strings, which go where their own hash says
+                    times = np.where(many, size, 1)
+                    j = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                    start, size, core, many = np.repeat(start, times) + j, np.repeat(np.where(many, 1, size), times), np.repeat(core, times), np.repeat(many, times)
+                matrix = _matrix(data, start, size)
+                name = _names(matrix, size)
+                core = np.where(many, mix(name), core)
+                key = (core & _U(0xFFFFFFFF00000000)) | (name & _U(0xFFFFFFFF))
+                order, first = _grouped(key, matrix, size)
+                each = np.diff(np.append(first, len(order)))
+                doc = np.searchsorted(offsets, start[order], "right") - 1
+                least = np.minimum.reduceat(dks[doc], first)
+                place = start[order] - offsets[doc] + begin[doc]
+                later = dks[doc] > np.repeat(least, each)
+                bid = batch.column("bid")[k].as_py()
+                rows = []
+                if later.any():
+                    at = place[later].astype(np.uint32)
+                    rows.append((-1 - bid % s, None, None, None, None, None, at.tobytes() + (at + (size[order][later] + SPAN - 1).astype(np.uint32)).tobytes()))
+                entry = np.repeat(np.arange(len(first)), each)[~later]
+                place = place[~later].astype(np.uint32)
+                matrix, size, core = matrix[order[first]], size[order[first]].astype(np.uint8), core[order[first]]
+                used, edges = _slices(core, s)
+                held = np.searchsorted(entry, edges).tolist()
+                pack = zstandard.ZstdCompressor(level=1)
+                for i, a, b, x, y in zip(used, edges, edges[1:], held, held[1:]):
+                    places = (entry[x:y] - a).astype(np.uint32).tobytes() + place[x:y].tobytes()
+                    rows.append((i, core[a:b].astype(np.uint32).tobytes(), size[a:b].tobytes(), _packed_ids(least[a:b]), pack.compress(matrix[a:b].reshape(-1)), places, None))
+                columns = list(zip(*rows, strict=True))
+                for at in range(0, len(rows), 64):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(rows[at : at + 64]), bid, np.int64)), pa.array(columns[0][at : at + 64], pa.int32()), *(pa.array(c[at : at + 64], pa.binary()) for c in columns[1:])],
+                        [f.split()[0] for f in PIECES.split(", ")],
+                    )
 
-    return batches_.mapInArrow(run, "m long, bid long, i long, dk long, start long, piece binary")
+    return texts.mapInArrow(run, PIECES)
 
 
 # --- the collection ---------------------------------------------------------------------------------
@@ -304,8 +438,10 @@ def common_prefix_classes(data: np.ndarray, offsets: np.ndarray, span: int, fold
         return
     number = np.arange(m)
     small = np.int32 if len(data) + m < 1 << 31 else np.int64
-    symbols = np.zeros(len(data) + m, np.uint16)
-    symbols[np.arange(len(data)) + np.repeat(number + 1, lengths)] = data.astype(np.uint16) + 1
+    used = np.bincount(data, minlength=256) > 0
+    kind = np.uint8 if used.sum() < 256 else np.uint16
+    symbols = np.zeros(len(data) + m, kind)
+    symbols[np.arange(len(data)) + np.repeat(number + 1, lengths)] = np.cumsum(used).astype(kind)[data]
     first, last = offsets[:-1] + number + 1, (offsets[1:] + number).astype(small)
 
     def ordered(columns: Columns | None, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -349,158 +485,185 @@ def common_prefix_classes(data: np.ndarray, offsets: np.ndarray, span: int, fold
     columns.delete()
 
 
-def least_ids(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, folder: str | None) -> list[np.ndarray]:
-    """For each string the least of ids among the strings that share the SPAN bytes at each of its places."""
+def least_ids(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, folder: str | None) -> np.ndarray:
+    """For each place of a string of SPAN bytes the least of ids among the strings that share it, one string after the other."""
     places = np.concatenate([[0], np.cumsum(np.maximum(0, np.diff(offsets) - SPAN + 1))])
     out = np.full(int(places[-1]), LAST_ID, np.int64)
-    held: list[Rows] = []
-
-    def settle(parts: list[Rows]) -> None:
-        sid, place, cls = map(np.concatenate, zip(*parts, strict=True))
-        first = np.flatnonzero(np.concatenate([[True], np.diff(cls) != 0]))
-        least = np.minimum.reduceat(ids[sid], first)
-        out[places[sid] + place] = np.repeat(least, np.diff(np.append(first, len(cls))))
-
-    for rows in common_prefix_classes(data, offsets, SPAN, folder):
-        edges = np.flatnonzero(np.diff(rows[2])) + 1
-        if held and held[-1][2][-1] != rows[2][0]:
-            settle(held)
-            held = []
-        if len(edges):  # all but the last class are complete
-            settle([*held, tuple(x[: edges[-1]] for x in rows)])
-            held = [tuple(x[edges[-1] :] for x in rows)]
-        else:
-            held.append(rows)
-    if held:
-        settle(held)
-    return [out[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
-
+    last, least = -1, LAST_ID  # the class that the last chunk ended in, which may go on, and its least identifier so far
+    open_: list[np.ndarray] = []
+
+    for sid, place, cls in common_prefix_classes(data, offsets, SPAN, folder):
+        first = _firsts(cls)
+        own = np.minimum.reduceat(ids[sid], first)
+        at = places[sid] + place
+        if cls[0] == last:
+            own[0] = min(own[0], least)
+            if own[0] < least:
+                for earlier in open_:
+                    out[earlier] = own[0]
+        out[at] = np.repeat(own, np.diff(np.append(first, len(cls))))
+        if len(first) > 1 or cls[0] != last:
+            open_ = []
+        open_.append(at[first[-1] :])
+        last, least = cls[-1], own[-1]
+    return out
 
-def _sorted_collections(strings: DataFrame, folder: str, memory_suffixes: int) -> DataFrame:
-    """strings (m, piece, least) of whole collections with `at_least`: for each place the least identifier, packed."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not sum(map(len, got)):
-            return
-        table = pa.Table.from_batches(got).combine_chunks()
-        data, offsets = text_bytes_of_binary(table.column("piece"))
-        ids = table.column("least").to_numpy()
-        outside = folder if len(data) > memory_suffixes else None
-        results = least_ids(data, offsets, ids, outside)
-        for at in range(0, len(table), 5000):
-            part = table.slice(at, 5000).combine_chunks().to_batches()[0]
-            packed = pa.array([r.astype("<i8").tobytes() for r in results[at : at + 5000]], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("m"), part.column("piece"), packed], ["m", "piece", "at_least"])
+SORTED_AT_ONCE = 1 << 15  # strings
 
-    return strings.mapInArrow(run, "m long, piece binary, at_least binary")
 
+def _settled(matrix: np.ndarray, size: np.ndarray, core: np.ndarray, least: np.ndarray, folder: str, memory_suffixes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings in the order of their cores: where the places of each stand in the result, and the least identifiers there.
 
-def text_bytes_of_binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    arr = arr.cast(pa.large_binary())
-    at = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
-    return np.frombuffer(arr.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
+    Strings of a core whose strings all begin in one smallest document have no places: none is smaller.
+    """
+    first = _firsts(core)
+    times = np.diff(np.append(first, len(core)))
+    differ = np.minimum.reduceat(least, first) < np.maximum.reduceat(least, first)
+    places = np.concatenate([[0], np.cumsum(np.where(np.repeat(differ, times), size, 0))])
+    out = np.empty(int(places[-1]), np.int64)
+    open_ = np.flatnonzero(differ)
+    ends = np.cumsum(times[open_])
+    at = 0
+    while at < len(open_):
+        past = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, past + SORTED_AT_ONCE, "right")))
+        k = np.arange(int(ends[to - 1] - past)) - np.repeat(np.cumsum(times[open_[at:to]]) - times[open_[at:to]], times[open_[at:to]])
+        own = np.repeat(first[open_[at:to]], times[open_[at:to]]) + k
+        lengths = size[own] + SPAN - 1
+        data = matrix[own][np.arange(WIDTH) < lengths[:, None]]
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        got = least_ids(data, offsets, least[own], folder if len(data) > memory_suffixes else None)
+        out[int(places[own[0]]) : int(places[own[-1] + 1])] = got
+        at = to
+    return places, out
+
+
+def _spans(pieces_: DataFrame, n: int, folder: str, memory_suffixes: int) -> DataFrame:
+    """For each batch the spans, in its bytes, that smaller documents have too."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, rows in _by_slice(batches):
+            if s < 0:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[7] for r in rows], pa.binary())], ["bid", "spans"])
+                continue
+            core = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
+            sizes = [len(r[3]) for r in rows]
+            size = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows]).astype(np.int64)
+            own = np.concatenate([_unpacked_ids(r[4], len(r[3])) for r in rows])
+            unpack = zstandard.ZstdDecompressor()
+            matrix = np.concatenate([np.frombuffer(unpack.decompress(r[5]), np.uint8) for r in rows]).reshape(-1, WIDTH)
+            places = [np.frombuffer(r[6], np.uint32) for r in rows]
+            counts = [len(p) // 2 for p in places]
+            base = np.cumsum([0, *sizes[:-1]])
+            entry = np.concatenate([p[:c].astype(np.int64) + b for p, c, b in zip(places, counts, base, strict=True)])
+            place = np.concatenate([p[c:] for p, c in zip(places, counts, strict=True)])
+            row = np.repeat(np.arange(len(rows)), counts)
+            rows = [r[0] for r in rows]
+            # equal strings of more than SPAN bytes are one
+            key = (core.astype(np.uint64) << _U(32)) | (_names(matrix, size) & _U(0xFFFFFFFF))
+            order, first = _grouped(key, matrix, size, size == 1)
+            times = np.diff(np.append(first, len(order)))
+            string = np.empty(len(order), np.int64)
+            string[order] = np.repeat(np.arange(len(first)), times)
+            least = np.minimum.reduceat(own[order], first)
+            kept = order[first]
+            at, least_at = _settled(matrix[kept], size[kept], core[kept], least, folder, memory_suffixes)
+            del matrix
+            out = []
+            whole = (own > least[string])[entry]
+            out.append((row[whole], place[whole], place[whole] + (size[entry[whole]] + SPAN - 1).astype(np.uint32)))
+            # of each other string the runs of places that have a smaller identifier
+            part = np.flatnonzero(~whole & (at[string[entry] + 1] > at[string[entry]]))
+            n_places = size[entry[part]]
+            owner = np.repeat(part, n_places)
+            k = np.arange(int(n_places.sum())) - np.repeat(np.cumsum(n_places) - n_places, n_places)
+            small = np.flatnonzero(least_at[at[string[entry[owner]]] + k] < own[entry[owner]])
+            if len(small):
+                owner, k = owner[small], k[small]
+                begin = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (np.diff(k) != 1)]))
+                end = np.append(begin[1:], len(k)) - 1
+                out.append((row[owner[begin]], (place[owner[begin]] + k[begin]).astype(np.uint32), (place[owner[end]] + k[end] + SPAN).astype(np.uint32)))
+            row, start, stop = map(np.concatenate, zip(*out, strict=True))
+            order = np.argsort(row, kind="stable")
+            row, start, stop = row[order], start[order], stop[order]
+            begin = _firsts(row)
+            edges = [*begin.tolist(), len(row)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([rows[i] for i in row[begin].tolist()], pa.int64()),
+                    pa.array([start[a:b].tobytes() + stop[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
+                ],
+                ["bid", "spans"],
+            )
 
-# --- documents --------------------------------------------------------------------------------------
+    return pieces_.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(run, "bid long, spans binary")
 
 
-def _covered(dk: int, entries: list[dict]) -> list[tuple[int, int]]:
-    """Merged spans of bytes that smaller documents have too."""
-    spans = []
-    for e in entries:
-        if e["at_least"] is None:
-            if e["least"] < dk:
-                spans.append((e["start"], e["start"] + e["n"]))
-            continue
-        small = np.flatnonzero(np.frombuffer(e["at_least"], "<i8") < dk)
-        for k in small.tolist():
-            spans.append((e["start"] + k, e["start"] + k + SPAN))
-    spans.sort()
-    out: list[tuple[int, int]] = []
-    for a, b in spans:
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(b, out[-1][1])
-        else:
-            out.append((a, b))
-    return out
+# --- documents --------------------------------------------------------------------------------------
 
 
 def _remove(batches_: DataFrame) -> DataFrame:
-    """The documents of batches with `found`, (text number, start, n, least, at_least) of what to look at."""
+    """The documents of batches with `found`, packed spans, and `skip`, the numbers of texts that go whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 data, offsets = _unpacked(batch, k)
-                by: dict[int, list[dict]] = {}
-                for e in batch.column("found")[k].as_py() or []:
-                    by.setdefault(e["i"], []).append(e)
-                dks = batch.column("dks")[k].as_py()
-                spans, kept = [], []
-                for i, dk in enumerate(dks):
-                    own = data[offsets[i] : offsets[i + 1]].tobytes()
-                    spans.append(_covered(dk, by[i]) if i in by else [])
-                    at, parts = 0, []
-                    for a, b in spans[-1]:
-                        parts.append(own[at:a])
-                        at = b
-                    parts.append(own[at:])
-                    kept.append(b"".join(parts))
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                shown = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind)
+                whole = np.array(batch.column("skip")[k].as_py() or [], np.int64)
+                whole = whole[np.diff(offsets)[whole] >= SPAN]
+                found = [np.frombuffer(x, np.uint32).astype(np.int64).reshape(2, -1) for x in batch.column("found")[k].as_py() or []]
+                start, stop = np.concatenate([np.stack([offsets[whole], offsets[whole + 1]]), *found], axis=1)
+                order = np.argsort(start, kind="stable")
+                start, stop = start[order], np.maximum.accumulate(stop[order]) if len(order) else stop
+                doc = np.searchsorted(offsets, start, "right") - 1
+                new = np.ones(len(start), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])
+                first = np.flatnonzero(new)
+                start, doc, stop = start[first], doc[first], stop[np.append(first[1:], len(stop)) - 1] if len(first) else stop
+                gone = np.zeros(len(data) + 1, np.int8)
+                np.add.at(gone, start, 1)
+                np.add.at(gone, stop, -1)
+                kept = data[np.cumsum(gone[:-1], dtype=np.int8) == 0]
+                removed = np.bincount(doc, stop - start, len(offsets) - 1).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)]).astype(np.int32)
+                runs = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))]).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(start - offsets[doc]), pa.array(stop - offsets[doc])], ["start", "end"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_ids")[k].values, pa.array(np.diff(offsets)), shown, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"]
+                    [
+                        batch.column("doc_ids")[k].values,
+                        pa.array(np.diff(offsets)),
+                        pa.ListArray.from_arrays(pa.array(runs), pairs),
+                        pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(kept)]),
+                    ],
+                    ["doc_id", "n_bytes", "spans", "kept"],
                 )
 
     schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     return batches_.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_suffixes: int = 1 << 23) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_suffixes: int = 1 << 22) -> DataFrame:
     """doc_id, n_bytes, the removed spans [start, end) and the kept bytes of every row."""
     spark = docs.sparkSession
     n = cluster_partitions(spark)
     key = F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID))
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), key.alias("dk"), F.xxhash64(docs[text_col]).alias("th"), F.hash(docs[text_col]).alias("h2"), docs[text_col].alias("text"))
-    texts = written(_batches(base), "text-batches")
+    read = written(_batches(base), "text-batches")
     # later copies of a whole text: all of it goes, and it adds nothing to what the first copy holds
-    each = texts.select("bid", F.posexplode(F.arrays_zip("dks", "ths", "h2s", "sizes")).alias("i", "t")).select("bid", F.col("i").cast("long").alias("i"), "t.*")
+    each = read.select("bid", F.posexplode(F.arrays_zip("dks", "ths", "h2s", "sizes")).alias("i", "t")).select("bid", F.col("i").cast("long").alias("i"), "t.*")
     firsts = each.groupBy("ths", "h2s", "sizes").agg(F.min("dks").alias("least"), F.max("dks").alias("hi")).filter("least < hi").drop("hi")
-    copies = written(each.join(firsts, ["ths", "h2s", "sizes"]).filter("dks > least").select("bid", "i", "least", F.col("sizes").alias("n")), "copies")
-    flags = written(_flags(_anchors(texts, n), n), "flags")
-    of_batch = flags.groupBy("bid").agg(F.collect_list(F.struct("slice", "bits")).alias("flags"))
-    skips = copies.groupBy("bid").agg(F.collect_list("i").alias("skip"))
-    pieces_ = written(_piece_rows(texts.join(of_batch, "bid").join(skips, "bid", "left"), n), "pieces")
-    strings = written(pieces_.groupBy("m", "piece").agg(F.min("dk").alias("least")), "strings")
-    # where all strings of a minimiser start in one smallest document, no place can have a smaller one
-    counts = strings.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("lo"), F.max("least").alias("hi")).filter("lo < hi").select("m", "n")
-    several = written(strings.join(counts, "m"), "open-strings")
-    usual = several.filter(F.col("n") <= HOT_PIECES).select("m", "piece", "least")
-    folder = new_path(spark, "suffix-columns")
-    done = _sorted_collections(usual.repartition(n, "m"), folder, memory_suffixes)
-    # of very large collections every string of SPAN bytes goes where its own hash says
-    grams = (
-        several.filter(F.col("n") > HOT_PIECES)
-        .select("least", F.col("piece").alias("whole"), F.posexplode(F.expr(f"sequence(1, octet_length(piece) - {SPAN - 1})")).alias("k", "i"))
-        .select("least", "whole", "k", F.expr(f"substring(whole, i, {SPAN})").alias("piece"))
-    )
-    gram_least = _sorted_collections(
-        grams.groupBy("piece").agg(F.min("least").alias("least")).select(F.xxhash64("piece").alias("m"), "piece", "least").repartition(n, "m"), folder, memory_suffixes
-    )
-    hot = grams.join(gram_least.select("piece", "at_least"), "piece").groupBy("whole").agg(
-        F.sort_array(F.collect_list(F.struct("k", "at_least"))).alias("x")
-    )
-    hot = hot.select(F.col("whole").alias("piece"), F.aggregate("x", F.lit(b""), lambda a, e: F.concat(a, e["at_least"])).alias("at_least"))
-    done = written(done.select("piece", "at_least").union(hot), "least-ids")
-    # pieces are named by two hashes of theirs, so that their bytes are not dealt out again
-    name = [F.xxhash64("piece").alias("p1"), F.hash("piece").alias("p2")]
-    known = strings.select(*name, "least").join(done.select(*name, "at_least"), ["p1", "p2"], "left")
-    found = pieces_.select("bid", "i", "dk", "start", F.octet_length("piece").cast("long").alias("n"), *name).join(known, ["p1", "p2"])
-    found = found.filter("at_least is not null or least < dk").select("bid", "i", "start", "n", "least", "at_least")
-    whole = copies.filter(F.col("n") >= SPAN).select("bid", "i", F.lit(0).cast("long").alias("start"), "n", "least", F.lit(None).cast("binary").alias("at_least"))
-    by_batch = found.union(whole).groupBy("bid").agg(F.collect_list(F.struct("i", "start", "n", "least", "at_least")).alias("found"))
+    skips = written(each.join(firsts, ["ths", "h2s", "sizes"]).filter("dks > least").groupBy("bid").agg(F.collect_list("i").alias("skip")), "copies")
+    total = read.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
+    s = max(n, total // SLICE)
+    texts = written(read.join(skips, "bid", "left").select("bid", "doc_ids", "dks", "sizes", "blob", "skip"), "texts")
+    delete_table(read)
+    delete_table(skips)
+    flags = written(_flags(_anchors(texts, s), n, HOT_PIECES), "flags")
+    of_batch = flags.groupBy("bid").agg(F.collect_list(F.struct("slice", "shared", "many")).alias("flags"))
+    spans = written(_spans(_piece_rows(texts.join(of_batch, "bid"), s), n, new_path(spark, "suffix-columns"), memory_suffixes), "spans")
+    delete_table(flags)
+    by_batch = spans.groupBy("bid").agg(F.collect_list("spans").alias("found"))
     return _remove(texts.join(by_batch, "bid", "left").select(*texts.columns, "found"))
 
 

@@ -142,3 +142,32 @@ def test_one_identifier_on_different_texts(spark):
     rows += [(7, " ".join(t)) for t in texts[2:]] + [(n + 4, " ".join(t[1:])) for n, t in enumerate(texts[2:])] + [(9, " ".join(texts[4]) + " tail")]
     got = {(r.doc_id, r.component_id) for r in jaccard_join.linked_documents(spark.createDataFrame(rows, "doc_id long, text string"), 1, 90).collect()}
     assert got == {(i, 1) for i in (1, 2, 3)} | {(i, 4) for i in (4, 5, 6, 7, 9)}
+
+
+@pytest.mark.parametrize("memory", [1 << 22, 200])
+def test_suffix_dedup_of_plain_and_near_texts(spark, monkeypatch, memory):
+    """Runs of one letter, short periods, shared passages in odd places, near copies; also with the rounds in files."""
+    monkeypatch.setattr(suffix_dedup, "RANGE", 1 << 10)
+    rnd = random.Random(11)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(90))
+    noise = ["".join(rnd.choice("abcdefghijkl ") for _ in range(300)) for _ in range(12)]
+    rows = [(0, "a" * 130), (1, "xyz" + "a" * 700 + "tail"), (2, "-=" * 100), (3, "=" + "-=" * 40 + passage), (4, "q" * 49), (5, "q" * 49), (6, "q" * 50), (7, "q" * 51)]
+    rows += [(10 + i, t[: 20 * i] + passage + t[20 * i :]) for i, t in enumerate(noise)]
+    near = "".join(rnd.choice("abcdefghijkl \n") for _ in range(3000))
+    rows += [(30, near), (31, near[:1500] + "!" + near[1501:]), (32, near[700:900]), (33, near[5:] + "ü" * 60), (34, "ü" * 80), (35, near)]
+    got = {tuple(r) for r in suffix_dedup.kept_digest(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), memory_suffixes=memory)).collect()}
+    assert got == set(suffix_dedup.brute_force(rows))
+
+
+def test_suffix_dedup_of_huge_texts(spark):
+    rnd = random.Random(12)
+    near = "".join(rnd.choices("abcdefghijklmnop \n", k=2_000_000))
+    rows = [(1, "a" * 5_000_000), (2, "b" + "a" * 100 + "b"), (3, near), (4, near[:1_000_000] + "#" + near[1_000_001:])]
+    got = {r[0]: tuple(r) for r in suffix_dedup.kept_digest(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert {i: r[1:4] for i, r in got.items()} == {1: (5_000_000, 0, 0), 2: (102, 100, 1), 3: (2_000_000, 0, 0), 4: (2_000_000, 1_999_999, 2)}
+    assert got[4][4] == hashlib.sha256(b"#").hexdigest() and got[2][4] == hashlib.sha256(b"bb").hexdigest()
+
+
+def test_plain_texts_make_few_pieces():
+    start, size, core = suffix_dedup.cut(np.full(1_000_000, 97, np.uint8), np.array([0, 1_000_000]))
+    assert size.sum() == 1_000_000 - 49 and len(np.unique(core)) == 1 and len(core) < 80_000 and (np.diff(start) == size[:-1]).all()
