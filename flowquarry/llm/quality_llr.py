@@ -6,7 +6,8 @@ that the labels call good. The number of buckets grows with the corpus's distinc
 a bucket holds `load` of them at most, whatever the size, and the ratios do not drift to the mean.
 
 Everything is built-in column expressions, and no row is dropped or sampled. Up to `LITERAL` buckets
-the weights are a literal, and a document is scored from its own row. Beyond, they are a table: n-grams
+the weights are a literal, up to `VARIABLE` an array in a session variable (32 MB at most), and a document
+is scored from its own row. Beyond, they are a table: n-grams
 meet it in a join (blocks of weights are broadcast up to `BROADCAST` buckets, beyond that both sides are
 shuffled by bucket), sums combine by text before the shuffle, and scores come back to the rows by two
 hashes of the text. Only the trusted documents, which fit the target distribution, are bounded: the
@@ -20,6 +21,7 @@ trusted document every score is 0 and the base rules alone decide; an empty tabl
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,19 +31,20 @@ from flowquarry.llm.common import let, words_of, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Most buckets of a literal, most buckets whose weights are broadcast, and the buckets of a broadcast row.
-LITERAL, BROADCAST, BLOCK = 1 << 16, 1 << 24, 1 << 12
+#: Most buckets of a literal, of a session variable, and of broadcast weights, and the buckets of a broadcast row.
+LITERAL, VARIABLE, BROADCAST, BLOCK = 1 << 16, 1 << 23, 1 << 24, 1 << 12
 #: One in so many n-gram hashes is counted to size the table.
 SIZING = 64
-#: Weights of a table are whole multiples of 1 / UNIT, so that their sums do not depend on the order.
-UNIT = 1 << 32
+#: Weights are used as whole multiples of 1 / UNIT, so that their sums do not depend on the order.
+UNIT = 1 << 24
 
 
 @dataclass(frozen=True)
 class LlrModel:
     """Log ratios by bucket, and the score from which a document is kept.
 
-    A model of more than LITERAL buckets has no weights but a table (block, own: the weights of its buckets).
+    A model of more than LITERAL buckets has no weights but a session variable, an array of their multiples of
+    1 / UNIT; and one of more than VARIABLE buckets a table (block, own: the weights of its buckets).
     """
 
     weights: tuple[float, ...]
@@ -49,6 +52,7 @@ class LlrModel:
     table: DataFrame | None = None
     buckets: int = 0
     unseen: int = 0
+    variable: str | None = None
 
 
 @dataclass(frozen=True)
@@ -134,16 +138,20 @@ def repeated_words(hashes: Column) -> Column:
 
 def mean_log_ratio(hashes: Column, model: LlrModel) -> Column:
     """Mean weight over the text's n-grams; 0 for a text without words."""
-    packed = ",".join(format(x, ".9g") for x in model.weights)
-    table, buckets = F.split(F.lit(packed), ",").cast("array<double>"), F.lit(len(model.weights))
+    if model.variable:
+        table, buckets = F.expr(model.variable), F.lit(model.buckets)
+    else:
+        packed = ",".join(str(round(x * UNIT)) for x in model.weights)
+        table, buckets = F.split(F.lit(packed), ",").cast("array<int>"), F.lit(len(model.weights))
+    zero = F.lit(0).cast("long")
 
     def weight(h: Column) -> Column:
         return F.get(table, F.pmod(h, buckets).cast("int"))
 
     size = F.size(hashes)
-    ones = F.aggregate(hashes, F.lit(0.0), lambda a, h: a + weight(h))
-    twos = F.aggregate(_indices(0, size - 2), F.lit(0.0), lambda a, i: a + weight(_bigram(hashes, i)))
-    return F.when(size == 0, F.lit(0.0)).otherwise((ones + twos) / (2 * size - 1))
+    ones = F.aggregate(hashes, zero, lambda a, h: a + weight(h))
+    twos = F.aggregate(_indices(0, size - 2), zero, lambda a, i: a + weight(_bigram(hashes, i)))
+    return F.when(size == 0, F.lit(0.0)).otherwise((ones + twos) / (2 * size - 1) / F.lit(float(UNIT)))
 
 
 def trusted_ids(labels: DataFrame, rows: int, id_col: str = "doc_id") -> DataFrame:
@@ -160,20 +168,19 @@ def trusted_ids(labels: DataFrame, rows: int, id_col: str = "doc_id") -> DataFra
     )
 
 
+def _bucket_counts(texts: DataFrame, buckets: int, name: str) -> DataFrame:
+    grams = texts.select(F.explode(ngram_hashes(words_of(F.col("__fq_text")))).alias("h"))
+    return grams.groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias(name))
+
+
 def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig(), id_col: str = "doc_id", text_col: str = "text") -> LlrModel:
-    """Counts every n-gram of every document, once for the raw corpus and once for the trusted documents."""
+    """Counts every n-gram of every document, and those of the trusted documents once more."""
     buckets = buckets_for(docs, config, text_col)
     trusted = F.broadcast(trusted_ids(labels, config.target_rows, id_col))
-    counts = (
-        docs.select(F.col(id_col).alias("__fq_key"), F.col(text_col).alias("__fq_text"))
-        .join(trusted, F.col("__fq_key") == F.col("__fq_id"), "left")
-        .select(
-            F.explode(ngram_hashes(words_of(F.col("__fq_text")))).alias("h"),
-            F.col("__fq_trusted").isNotNull().cast("long").alias("good"),
-        )
-        .groupBy(F.pmod("h", F.lit(buckets)).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
-    )
+    texts = docs.select(F.col(id_col).alias("__fq_key"), F.col(text_col).alias("__fq_text"))
+    target = _bucket_counts(texts.join(trusted, F.col("__fq_key") == F.col("__fq_id"), "left_semi"), buckets, "target")
+    raw = _bucket_counts(texts, buckets, "raw").join(target, "bucket", "left")
+    counts = raw.select("bucket", "raw", F.coalesce("target", F.lit(0)).cast("long").alias("target"))
     a = config.smoothing
     if buckets > LITERAL:
         counts = written(counts, "quality-counts")
@@ -194,17 +201,30 @@ def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfi
 
 def _table_model(counts: DataFrame, buckets: int, shift: float, config: QualityConfig) -> LlrModel:
     a, unseen = F.lit(config.smoothing), round(shift * UNIT)
-    weight = F.round((F.log((F.col("target") + a) / (F.col("raw") + a)) + F.lit(shift)) * F.lit(float(UNIT))).cast("long")
+    weight = F.round((F.log((F.col("target") + a) / (F.col("raw") + a)) + F.lit(shift)) * F.lit(float(UNIT))).cast("int")
     own = counts.select("bucket", weight.alias("w"))
     if buckets <= BROADCAST:
         every = counts.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(own, "bucket", "left")
-        rows = every.groupBy(F.floor(F.col("bucket") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("w", F.lit(unseen)).alias("w")))).alias("s"))
+        rows = every.groupBy(F.floor(F.col("bucket") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("w", F.lit(unseen).cast("int")).alias("w")))).alias("s"))
         table = rows.select("block", F.col("s.w").alias("own"))
+        if buckets <= VARIABLE:
+            return LlrModel((), config.threshold, None, buckets, unseen, _variable(table))
     else:
         table = own.select(F.col("bucket").alias("block"), F.array("w").alias("own"))
     return LlrModel((), config.threshold, written(table, "quality-weights"), buckets, unseen)
 
 
+def _variable(blocks: DataFrame) -> str:
+    """A session variable of its own with all weights in the order of buckets."""
+    spark, name = blocks.sparkSession, f"flowquarry_weights_{uuid.uuid4().hex}"
+    row = blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "own"))), lambda x: x["own"])).alias("w"))
+    row.createOrReplaceTempView(name)
+    spark.sql(f"DECLARE VARIABLE {name} ARRAY<INT>")
+    spark.sql(f"SET VAR {name} = (SELECT w FROM {name})")
+    spark.catalog.dropTempView(name)
+    return name
+
+
 def _text_key(text: Column) -> Column:
     """Two independent hashes, 96 bits: texts that share them share their score."""
     return F.struct(F.xxhash64(text).alias("x"), F.hash(text).alias("m"))

@@ -106,7 +106,9 @@ def test_rejection_does_not_fall_with_size(spark, monkeypatch):
 
     small, large = rejected(20), rejected(600)
     assert large[0] >= small[0] == 1.0 and sum(x[1] for x in large[1].values()) == 450
-    for broadcast in (1 << 24, 0):
-        monkeypatch.setattr(quality_llr, "LITERAL", 0)
-        monkeypatch.setattr(quality_llr, "BROADCAST", broadcast)
-        assert rejected(600) == large
+    for variable in (1 << 22, 0):
+        for broadcast in (1 << 24, 0):
+            monkeypatch.setattr(quality_llr, "LITERAL", 0)
+            monkeypatch.setattr(quality_llr, "VARIABLE", variable)
+            monkeypatch.setattr(quality_llr, "BROADCAST", broadcast)
+            assert rejected(600) == large
