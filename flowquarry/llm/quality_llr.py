@@ -87,9 +87,21 @@ def _indices(first: Column | int, last: Column) -> Column:
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
+def _bigrams(hashes: Column) -> Column:
+    return F.transform(_indices(0, F.size(hashes) - 2), lambda i: _bigram(hashes, i))
+
+
 def ngram_hashes(words: Column) -> Column:
     """Hashes of all unigrams and bigrams."""
-    return let(_hashes(words), lambda h: F.concat(h, F.transform(_indices(0, F.size(h) - 2), lambda i: _bigram(h, i))))
+    return let(_hashes(words), lambda h: F.concat(h, _bigrams(h)))
+
+
+def exploded_ngrams(texts: Column, docs: DataFrame) -> DataFrame:
+    """A row h for each unigram and bigram, as in ngram_hashes, but hashed in generated code."""
+    words = docs.select(words_of(texts).alias("ws"))
+    pairs = words.select(F.explode(F.arrays_zip(F.col("ws").alias("a"), F.slice("ws", 2, F.greatest(F.size("ws"), F.lit(1))).alias("b"))).alias("p"))
+    hashes = pairs.select(F.xxhash64("p.a").alias("one"), F.when(F.col("p.b").isNotNull(), F.xxhash64(F.xxhash64("p.a"), F.xxhash64("p.b"))).alias("two"))
+    return hashes.select(F.explode(F.when(F.col("two").isNull(), F.array("one")).otherwise(F.array("one", "two"))).alias("h"))
 
 
 def buckets_for(docs: DataFrame, config: QualityConfig, text_col: str = "text") -> int:
@@ -98,20 +110,20 @@ def buckets_for(docs: DataFrame, config: QualityConfig, text_col: str = "text")
     Their number is estimated from all that have a hash in one of SIZING classes.
     """
     # the highest bits: a bucket is the lowest ones
-    own = F.filter(ngram_hashes(words_of(F.col(text_col))), lambda h: F.shiftrightunsigned(h, 64 - SIZING.bit_length() + 1) == 0)
-    distinct = SIZING * docs.select(F.explode(own).alias("h")).distinct().count()
+    own = F.shiftrightunsigned("h", 64 - SIZING.bit_length() + 1) == 0
+    distinct = SIZING * exploded_ngrams(F.col(text_col), docs).filter(own).distinct().count()
     buckets = config.buckets
     while buckets * config.load < distinct:
         buckets *= 2
     return buckets
 
 
-def repeated_words(hashes: Column) -> Column:
+def repeated_words(bigrams: Column) -> Column:
     """Number of words inside windows of eight words that occur twice or more in the text."""
 
-    def windows(h: Column) -> Column:
+    def windows(b: Column) -> Column:
         return F.transform(
-            _indices(0, F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])
+            _indices(0, F.size(b) + 1 - WINDOW), lambda i: F.xxhash64(*[F.get(b, i + k) for k in range(0, WINDOW, 2)])
         )
 
     def covered(v: Column) -> Column:
@@ -131,12 +143,12 @@ def repeated_words(hashes: Column) -> Column:
         return let(let(ordered, twice), union)
 
     return let(
-        windows(hashes),
+        windows(bigrams),
         lambda v: F.when(F.size(F.array_distinct(v)) == F.size(v), F.lit(0).cast("long")).otherwise(covered(v)),
     )
 
 
-def mean_log_ratio(hashes: Column, model: LlrModel) -> Column:
+def mean_log_ratio(hashes: Column, bigrams: Column, model: LlrModel) -> Column:
     """Mean weight over the text's n-grams; 0 for a text without words."""
     if model.variable:
         table, buckets = F.expr(model.variable), F.lit(model.buckets)
@@ -150,7 +162,7 @@ def mean_log_ratio(hashes: Column, model: LlrModel) -> Column:
 
     size = F.size(hashes)
     ones = F.aggregate(hashes, zero, lambda a, h: a + weight(h))
-    twos = F.aggregate(_indices(0, size - 2), zero, lambda a, i: a + weight(_bigram(hashes, i)))
+    twos = F.aggregate(bigrams, zero, lambda a, h: a + weight(h))
     return F.when(size == 0, F.lit(0.0)).otherwise((ones + twos) / (2 * size - 1) / F.lit(float(UNIT)))
 
 
@@ -169,8 +181,7 @@ def trusted_ids(labels: DataFrame, rows: int, id_col: str = "doc_id") -> DataFra
 
 
 def _bucket_counts(texts: DataFrame, buckets: int, name: str) -> DataFrame:
-    grams = texts.select(F.explode(ngram_hashes(words_of(F.col("__fq_text")))).alias("h"))
-    return grams.groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias(name))
+    return exploded_ngrams(F.col("__fq_text"), texts).groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias(name))
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig(), id_col: str = "doc_id", text_col: str = "text") -> LlrModel:
@@ -259,10 +270,13 @@ def features(text: Column, model: LlrModel, config: QualityConfig = QualityConfi
     dup_lines = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
     def by_hash(h: Column) -> Column:
-        return F.struct(
-            F.size(h).cast("long").alias("n_words"),
-            repeated_words(h).alias("n_repeat_words"),
-            (mean_log_ratio(h, model) if model.table is None else F.lit(0.0)).alias("score"),
+        return let(
+            _bigrams(h),
+            lambda b: F.struct(
+                F.size(h).cast("long").alias("n_words"),
+                repeated_words(b).alias("n_repeat_words"),
+                (mean_log_ratio(h, b, model) if model.table is None else F.lit(0.0)).alias("score"),
+            ),
         )
 
     def verdict(x: Column) -> Column:
