@@ -21,7 +21,7 @@ SPAN bytes are one string with the smallest identifier of their documents. Of a
 more than HOT_PIECES places the single strings of SPAN bytes are dealt out by hashes of their own,
 so that no core fills a task; they too are sorted by the construction, ungrouped.
 
-Slices are as many as the input has SLICE bytes. Texts travel in compressed batches and pieces in
+Slices are as many as the input has 4 MB. Texts travel in compressed batches and pieces in
 one row for each batch and slice, so joins and shuffles handle few rows. A worker holds one slice,
 and sorts collections of up to `memory_suffixes` bytes at a time.
 
@@ -42,13 +42,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowquarry.llm.batches import by_slice, dealt_by_slice, first_of_runs, slice_edges, slices_for, text_batches, unpacked
 from flowquarry.llm.common import cluster_partitions, delete_table, new_path, written
-from flowquarry.llm.shingles import mix, text_bytes
-from flowquarry.llm.spec_bpe import pieces
+from flowquarry.llm.shingles import mix
 
 SPAN = 50
 M = 24
@@ -56,7 +55,7 @@ SIDE = (SPAN - M) // 2
 WIDTH = 64  # bytes of a piece, at most
 MOST = WIDTH - SPAN  # strings of SPAN bytes in a piece, at most
 RANGE = 1 << 18  # bytes whose hashes are held at once
-SLICE = 1 << 22
+SALTS = 16
 HOT_PIECES = 50_000
 LAST_ID = (1 << 63) - 1
 _U = np.uint64
@@ -66,42 +65,14 @@ _MIXERS = mix(np.arange(9001, 9017, dtype=np.uint64)) | _U(1)
 
 # --- batches and pieces of documents ------------------------------------------------------------------
 
-BATCH = "bid long, doc_ids array<long>, dks array<long>, ths array<long>, h2s array<int>, sizes array<long>, blob binary"
-
-
-def _batches(docs: DataFrame) -> DataFrame:
-    """Rows of up to 2000 texts, their bytes in one compressed blob, with a number of their own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in pieces(batches, 1 << 22, 2000):
-            data, offsets = text_bytes(batch.column("text"))
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column(c)) for c in ("doc_id", "dk", "th", "h2")]
-            sizes = pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), pa.array(np.diff(offsets)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), *lists, sizes, pa.array([pack.compress(data)], pa.binary())],
-                ["bid", "doc_ids", "dks", "ths", "h2s", "sizes", "blob"],
-            )
-            number += 1
-
-    return docs.select("doc_id", "dk", "th", "h2", "text").mapInArrow(run, BATCH)
-
-
-def _unpacked(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-    sizes = batch.column("sizes")[k].values.to_numpy(zero_copy_only=False)
-    raw = zstandard.ZstdDecompressor().decompress(batch.column("blob")[k].as_py(), max_output_size=int(sizes.sum()) + 1)
-    return np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(sizes)])
-
-
 def _live(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The texts to cut, all but later copies and short ones: bytes, offsets, where each stands in its batch, identifiers."""
-    data, offsets = _unpacked(batch, k)
+    data, offsets = unpacked(batch, k)
     sizes = np.diff(offsets)
     keep = sizes >= SPAN
     keep[np.array(batch.column("skip")[k].as_py() or [], np.int64)] = False
     own = np.flatnonzero(keep)
-    dks = batch.column("dks")[k].values.to_numpy(zero_copy_only=False)
+    dks = batch.column("dk")[k].values.to_numpy(zero_copy_only=False)
     return data[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[own])]), offsets[own], dks[own]
 
 
@@ -158,26 +129,10 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
-def _slice_of(core: np.ndarray, s: int) -> np.ndarray:
-    return ((core >> _U(32)) * _U(s) >> _U(32)).astype(np.int64)
-
-
-def _firsts(values: np.ndarray) -> np.ndarray:
-    """Where each run of equal values begins."""
-    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
-
-
-def _slices(core: np.ndarray, s: int) -> tuple[list[int], list[int]]:
-    """The slices of cores in order, and where each begins; the last edge is the end."""
-    own = _slice_of(core, s)
-    first = _firsts(own)
-    return own[first].tolist(), [*first.tolist(), len(own)]
-
-
 def _in_order(start: np.ndarray, core: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of pieces by core, where each core begins in it, and the text of each piece in it."""
     order = np.argsort(core, kind="stable")
-    return order, _firsts(core[order]), np.searchsorted(offsets, start[order], "right") - 1
+    return order, first_of_runs(core[order]), np.searchsorted(offsets, start[order], "right") - 1
 
 
 def _anchors(texts: DataFrame, s: int) -> DataFrame:
@@ -196,7 +151,7 @@ def _anchors(texts: DataFrame, s: int) -> DataFrame:
                 marks = count | (several.astype(np.uint16) << np.uint16(15))
                 distinct = core[order[first]]
                 keys = distinct.astype(np.uint32)  # the lower half; the upper half names the slice
-                used, edges = _slices(distinct, s)
+                used, edges = slice_edges(distinct, s)
                 spans = list(zip(edges, edges[1:]))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -211,30 +166,15 @@ def _anchors(texts: DataFrame, s: int) -> DataFrame:
     return texts.mapInArrow(run, "bid long, slice int, keys binary, marks binary")
 
 
-def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows come sorted by slice: the rows of one slice at a time."""
-    held, now = [], None
-    for batch in batches:
-        at = batch.schema.get_field_index("slice")
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[at] != now:
-                if held:
-                    yield now, held
-                held, now = [], row[at]
-            held.append(row)
-    if held:
-        yield now, held
-
-
 def _flags(anchors: DataFrame, n: int, hot: int) -> DataFrame:
     """For each batch and slice the cores that another text has too, and which of these stand in many places, a bit each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, rows in _by_slice(batches):
+        for s, rows in by_slice(batches):
             keys = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
             marks = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows])
             order = np.argsort(keys, kind="stable")
-            first = _firsts(keys[order])
+            first = first_of_runs(keys[order])
             times = np.diff(np.append(first, len(order)))
             marks = marks[order]
             shared = (times > 1) | (np.maximum.reduceat(marks, first) > 0x7FFF)
@@ -251,7 +191,7 @@ def _flags(anchors: DataFrame, n: int, hot: int) -> DataFrame:
                 ["bid", "slice", "shared", "many"],
             )
 
-    return anchors.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(run, "bid long, slice int, shared binary, many binary")
+    return dealt_by_slice(anchors, n).mapInArrow(run, "bid long, slice int, shared binary, many binary")
 
 
 def _matrix(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -320,7 +260,7 @@ def _piece_rows(texts: DataFrame, s: int) -> DataFrame:
                     continue
                 start, size, core = cut(data, offsets)
                 order, first, _ = _in_order(start, core, offsets)
-                _, edges = _slices(core[order[first]], s)
+                _, edges = slice_edges(core[order[first]], s)
                 bits = [
                     np.concatenate([np.unpackbits(np.frombuffer(f[x], np.uint8), count=b - a) for f, a, b in zip(flags, edges, edges[1:])]).astype(bool)
                     for x in ("shared", "many")
@@ -353,7 +293,7 @@ def _piece_rows(texts: DataFrame, s: int) -> DataFrame:
                 entry = np.repeat(np.arange(len(first)), each)[~later]
                 place = place[~later].astype(np.uint32)
                 matrix, size, core = matrix[order[first]], size[order[first]].astype(np.uint8), core[order[first]]
-                used, edges = _slices(core, s)
+                used, edges = slice_edges(core, s)
                 held = np.searchsorted(entry, edges).tolist()
                 pack = zstandard.ZstdCompressor(level=1)
                 for i, a, b, x, y in zip(used, edges, edges[1:], held, held[1:]):
@@ -493,7 +433,7 @@ def least_ids(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, folder: st
     open_: list[np.ndarray] = []
 
     for sid, place, cls in common_prefix_classes(data, offsets, SPAN, folder):
-        first = _firsts(cls)
+        first = first_of_runs(cls)
         own = np.minimum.reduceat(ids[sid], first)
         at = places[sid] + place
         if cls[0] == last:
@@ -517,7 +457,7 @@ def _settled(matrix: np.ndarray, size: np.ndarray, core: np.ndarray, least: np.n
 
     Strings of a core whose strings all begin in one smallest document have no places: none is smaller.
     """
-    first = _firsts(core)
+    first = first_of_runs(core)
     times = np.diff(np.append(first, len(core)))
     differ = np.minimum.reduceat(least, first) < np.maximum.reduceat(least, first)
     places = np.concatenate([[0], np.cumsum(np.where(np.repeat(differ, times), size, 0))])
@@ -543,7 +483,7 @@ def _spans(pieces_: DataFrame, n: int, folder: str, memory_suffixes: int) -> Dat
     """For each batch the spans, in its bytes, that smaller documents have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, rows in _by_slice(batches):
+        for s, rows in by_slice(batches):
             if s < 0:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[7] for r in rows], pa.binary())], ["bid", "spans"])
                 continue
@@ -587,7 +527,7 @@ def _spans(pieces_: DataFrame, n: int, folder: str, memory_suffixes: int) -> Dat
             row, start, stop = map(np.concatenate, zip(*out, strict=True))
             order = np.argsort(row, kind="stable")
             row, start, stop = row[order], start[order], stop[order]
-            begin = _firsts(row)
+            begin = first_of_runs(row)
             edges = [*begin.tolist(), len(row)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -597,7 +537,7 @@ def _spans(pieces_: DataFrame, n: int, folder: str, memory_suffixes: int) -> Dat
                 ["bid", "spans"],
             )
 
-    return pieces_.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(run, "bid long, spans binary")
+    return dealt_by_slice(pieces_, n).mapInArrow(run, "bid long, spans binary")
 
 
 # --- documents --------------------------------------------------------------------------------------
@@ -609,7 +549,7 @@ def _remove(batches_: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                data, offsets = _unpacked(batch, k)
+                data, offsets = unpacked(batch, k)
                 whole = np.array(batch.column("skip")[k].as_py() or [], np.int64)
                 whole = whole[np.diff(offsets)[whole] >= SPAN]
                 found = [np.frombuffer(x, np.uint32).astype(np.int64).reshape(2, -1) for x in batch.column("found")[k].as_py() or []]
@@ -631,7 +571,7 @@ def _remove(batches_: DataFrame) -> DataFrame:
                 pairs = pa.StructArray.from_arrays([pa.array(start - offsets[doc]), pa.array(stop - offsets[doc])], ["start", "end"])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_ids")[k].values,
+                        batch.column("doc_id")[k].values,
                         pa.array(np.diff(offsets)),
                         pa.ListArray.from_arrays(pa.array(runs), pairs),
                         pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(kept)]),
@@ -649,14 +589,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = cluster_partitions(spark)
     key = F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID))
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), key.alias("dk"), F.xxhash64(docs[text_col]).alias("th"), F.hash(docs[text_col]).alias("h2"), docs[text_col].alias("text"))
-    read = written(_batches(base), "text-batches")
+    read = written(text_batches(base, {"doc_id": "long", "dk": "long", "th": "long", "h2": "int"}), "text-batches")
     # later copies of a whole text: all of it goes, and it adds nothing to what the first copy holds
-    each = read.select("bid", F.posexplode(F.arrays_zip("dks", "ths", "h2s", "sizes")).alias("i", "t")).select("bid", F.col("i").cast("long").alias("i"), "t.*")
-    firsts = each.groupBy("ths", "h2s", "sizes").agg(F.min("dks").alias("least"), F.max("dks").alias("hi")).filter("least < hi").drop("hi")
-    skips = written(each.join(firsts, ["ths", "h2s", "sizes"]).filter("dks > least").groupBy("bid").agg(F.collect_list("i").alias("skip")), "copies")
-    total = read.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
-    s = max(n, total // SLICE)
-    texts = written(read.join(skips, "bid", "left").select("bid", "doc_ids", "dks", "sizes", "blob", "skip"), "texts")
+    each = read.select("bid", F.posexplode(F.arrays_zip("dk", "th", "h2", "sizes")).alias("i", "t")).select("bid", F.col("i").cast("long").alias("i"), "t.*")
+    same = ["th", "h2", "sizes"]
+    firsts = each.groupBy(*same).agg(F.min("dk").alias("least"), F.max("dk").alias("hi")).filter("least < hi").drop("hi")
+    # a group of very many copies is dealt out over SALTS tasks
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    skips = written(each.withColumn("salt", F.pmod(F.hash("bid", "i"), F.lit(SALTS))).join(firsts, [*same, "salt"]).filter("dk > least").groupBy("bid").agg(F.collect_list("i").alias("skip")), "copies")
+    s = slices_for(read, n)
+    texts = written(read.join(skips, "bid", "left").select("bid", "doc_id", "dk", "sizes", "blob", "skip"), "texts")
     delete_table(read)
     delete_table(skips)
     flags = written(_flags(_anchors(texts, s), n, HOT_PIECES), "flags")
