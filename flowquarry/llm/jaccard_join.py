@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, and their components.
 
 Sets are ordered rare-first by one order for all documents: how many documents have a shingle,
-counted for all of them in hashed cells, then its hash. Two sets with similarity t or more share a
+counted for all of them, then its hash. Two sets with similarity t or more share a
 shingle within their prefixes, the first n - ceil(t n) + 1 shingles. So candidates meet on prefix
 shingles. Length, positional and suffix filters discard pairs that cannot reach t, and every pair
 left is verified once, on the whole sets of both texts.
@@ -13,11 +13,14 @@ links make components. Then only pairs of one bucket whose components differ are
 them that the filters leave are verified. Pairs inside a component need no check: they change no
 component. No bucket has a cap.
 
-A shingle that is alone in its cell is in no other document. A set of which too much is alone is left
-out, and the part that is alone tightens the bound on the overlap of a pair.
+A set of which too many shingles are in no other document is left out, and the part that is alone
+tightens the bound on the overlap of a pair.
 
-Sizes: the order is a fixed table of two bits for each cell, summed from the tasks' compressed
-counts; postings are rows (shingle, document, position, size). Joins are on shingles or identifiers and can be split
+Sizes: counts are made in slices of the hash range, as many as the input has 4 MB of text, from the
+distinct shingles of each batch of texts, and go back to the batches that asked; nothing is
+broadcast. Two shingles that agree in their slice and 32 bits count as one, which makes the order
+coarser and never loses a pair. Counts are exact up to EXACT and rounded down to steps of 1/256
+octave beyond. Postings are rows (shingle, document, position, size). Joins are on shingles or identifiers and can be split
 by adaptive execution; the two sides of a pair meet as texts only for candidates.
 
 Defined results: null and empty texts, and texts without words, have size 0 and link with nothing;
@@ -33,20 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import written
+from flowquarry.llm.batches import by_slice, dealt_by_slice, first_of_runs, slice_edges, slices_for, text_batches, unpacked
+from flowquarry.llm.common import cluster_partitions, delete_table, written
 from flowquarry.llm.components import components
 from flowquarry.llm.shingles import shingle_sets
 from flowquarry.llm.spec_bpe import pieces
 
-CELL_BITS = 27
-SLICES = 32
 PARTS = 32
-#: Least count of levels 1, 2 and 3. A cell of level 0 holds one shingle of one document.
-LEVELS = (2, 4, 64)
+EXACT = 1 << 15
 
 
 def _need(n: int, percent: int) -> int:
@@ -62,82 +62,100 @@ def _set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def shingle_ranks(docs: DataFrame, k: int) -> bytes:
-    """For each cell of the shingle hash range the level of its number of (document, shingle), two bits each."""
-    cells = 1 << CELL_BITS
-    step = cells // SLICES
-
-    def packed(places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """The cells that occur, as differences, with their counts up to 255."""
-        at, n = np.unique(np.concatenate(places), return_counts=True)
-        n = np.minimum(n, 255).astype(np.uint8)
-        pack = zstandard.ZstdCompressor(level=1)
-        edges = np.searchsorted(at, np.arange(0, cells + 1, step))
-        for s in range(SLICES):
-            own = at[edges[s] : edges[s + 1]]
-            if len(own):
-                steps = np.diff(own.astype(np.int64), prepend=s * step).astype("<u4")
-                row = [pa.array([s], pa.int32()), pa.array([pack.compress(steps.tobytes())], pa.binary()), pa.array([pack.compress(n[edges[s] : edges[s + 1]].tobytes())], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, ["slice", "steps", "counts"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: list[np.ndarray] = []
-        held = 0
-        for batch in pieces(batches):
-            for s in shingle_sets(batch.column("text"), k):
-                places.append((s >> np.uint64(64 - CELL_BITS)).astype(np.uint32))
-                held += len(s)
-            if held > 8_000_000:
-                yield from packed(places)
-                places, held = [], 0
-        if held:
-            yield from packed(places)
+def _batch_sets(batch: pa.RecordBatch, row: int, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The shingle sets of a row of texts, and all their shingles one after the other."""
+    data, offsets = unpacked(batch, row)
+    if offsets[-1] < 1 << 31:
+        texts = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+    else:
+        texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+    sets = list(shingle_sets(texts, k))
+    return sets, np.concatenate([np.empty(0, np.uint64), *sets])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        unpack = zstandard.ZstdDecompressor()
+
+def _steps(n: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits, in the same order: themselves up to EXACT, then steps of their logarithm."""
+    far = EXACT + 256 * (np.log2(np.maximum(n, EXACT)) - EXACT.bit_length() + 1)
+    return np.where(n < EXACT, n, np.minimum(far, 0xFFFF)).astype(np.uint16)
+
+
+def _counts(texts: DataFrame, k: int, s: int, n: int) -> DataFrame:
+    """For each batch and slice how many documents, of all batches, have each of the batch's distinct shingles."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, steps, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = np.cumsum(np.frombuffer(unpack.decompress(steps), "<u4").astype(np.int64))
-                total = sums.setdefault(s, np.zeros(step, np.uint16))
-                total[at] = np.minimum(total[at] + np.frombuffer(unpack.decompress(counts), np.uint8), 1000)
-        for s, total in sums.items():
-            level = sum((total >= least).astype(np.uint8) for least in LEVELS).reshape(-1, 4)
-            bits = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.astype(np.uint8).tobytes()], pa.binary())], ["slice", "data"])
-
-    counted = docs.select("text").mapInArrow(count, "slice int, steps binary, counts binary")
-    rows = counted.repartition(SLICES, "slice").mapInArrow(add, "slice int, data binary").toLocalIterator()  # SLICES rows, cells / 4 bytes in all
-    out = bytearray(cells // 4)
-    for row in rows:
-        out[row["slice"] * (step // 4) : (row["slice"] + 1) * (step // 4)] = row["data"]
-    return bytes(out)
-
-
-def _sets(docs: DataFrame, ranks, k: int, percent: int) -> DataFrame:
-    """For each row its identifier, the size and key of its set, how many shingles no other document has, and its prefix."""
+            for row in range(len(batch)):
+                own, times = np.unique(_batch_sets(batch, row, k)[1], return_counts=True)
+                if not len(own):
+                    continue
+                used, edges = slice_edges(own, s)
+                keys, times = own.astype(np.uint32), times.astype(np.uint16)  # 2000 texts at most
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(used), batch.column("bid")[row].as_py(), np.int64)),
+                        pa.array(used, pa.int32()),
+                        *(pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()) for x in (keys, times)),
+                    ],
+                    ["bid", "slice", "keys", "times"],
+                )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.frombuffer(ranks.value, np.uint8)
-        for batch in pieces(batches):
-            sizes, keys, alone, prefixes = [], [], [], []
-            for s in shingle_sets(batch.column("text"), k):
-                sizes.append(len(s))
-                keys.append(_set_key(s))
-                p = _prefix(len(s), percent)
-                at = (s >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-                level = order[at >> 2] >> (at & 3).astype(np.uint8) * np.uint8(2) & np.uint8(3)
-                alone.append(int(np.count_nonzero(level == 0)))
-                s = s[np.argsort(level, kind="stable")[:p]]  # s is sorted by hash
-                prefixes.append(s[:p].view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum(list(map(len, prefixes)))]).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in by_slice(batches):
+            keys = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
+            order = np.argsort(keys, kind="stable")
+            first = first_of_runs(keys[order])
+            times = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows])[order].astype(np.int64)
+            out = np.empty(len(keys), np.uint16)
+            out[order] = np.repeat(_steps(np.add.reduceat(times, first)), np.diff(np.append(first, len(keys))))
+            edges = np.cumsum([0, *(len(r[3]) // 2 for r in rows)]).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(alone, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                ["doc_id", "n", "key", "alone", "prefix"],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int32()), pa.array([out[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())],
+                ["bid", "slice", "counts"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, alone long, prefix array<long>")
+    asked = texts.mapInArrow(distinct, "bid long, slice int, keys binary, times binary")
+    return dealt_by_slice(asked, n).mapInArrow(add, "bid long, slice int, counts binary")
+
+
+def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """For each row its identifier, the size and key of its set, how many shingles no other document has, and its prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                sets, flat = _batch_sets(batch, row, k)
+                _, place = np.unique(flat, return_inverse=True)
+                counts = sorted(batch.column("counts")[row].as_py() or [], key=lambda c: c["slice"])
+                times = np.frombuffer(b"".join(c["counts"] for c in counts), np.uint16)[place]
+                sizes, keys, alone, prefixes, at = [], [], [], [], 0
+                for s in sets:
+                    own = times[at : at + len(s)]
+                    at += len(s)
+                    sizes.append(len(s))
+                    keys.append(_set_key(s))
+                    alone.append(int(np.count_nonzero(own == 1)))
+                    prefixes.append(s[np.argsort(own, kind="stable")[: _prefix(len(s), percent)]].view(np.int64))  # s is sorted by hash
+                offsets = np.concatenate([[0], np.cumsum(list(map(len, prefixes)))]).astype(np.int32)
+                flat = np.concatenate([np.empty(0, np.int64), *prefixes])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id")[row].values,
+                        pa.array(sizes, pa.int64()),
+                        pa.array(keys, pa.binary()),
+                        pa.array(alone, pa.int64()),
+                        pa.ListArray.from_arrays(offsets, flat),
+                    ],
+                    ["doc_id", "n", "key", "alone", "prefix"],
+                )
+
+    n = cluster_partitions(docs.sparkSession)
+    texts = written(text_batches(docs, {"doc_id": "long"}), "shingle-texts")
+    counts = written(_counts(texts, k, slices_for(texts, n), n), "shingle-counts")
+    of_batch = counts.groupBy("bid").agg(F.collect_list(F.struct("slice", "counts")).alias("counts"))
+    out = written(texts.join(of_batch, "bid", "left").mapInArrow(run, "doc_id long, n long, key binary, alone long, prefix array<long>"), "shingle-sets")
+    delete_table(texts)
+    delete_table(counts)
+    return out
 
 
 def _only_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -262,8 +280,7 @@ def class_links(classes: DataFrame, texts_of: DataFrame, k: int, percent: int) -
 def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row: documents link at Jaccard similarity percent / 100 or more."""
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    ranks = docs.sparkSession.sparkContext.broadcast(shingle_ranks(slim, k))
-    sets = written(_sets(slim, ranks, k, percent), "shingle-sets")
+    sets = _sets(slim, k, percent)
     usable = sets.filter("doc_id is not null and n > 0")
     classes = usable.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("alone").alias("alone"), F.first("prefix").alias("prefix"))
     # an identifier can be the least of several classes; their numbers are fixed once written
