@@ -44,13 +44,15 @@ def mapped(piece: str) -> str:
 class Kept(dict):
     """A bounded memory of encoded pieces; emptied when full, which costs time and changes no result."""
 
-    def __init__(self, encode_all, most: int = 300_000):
+    def __init__(self, encode_all, most: int = 300_000, most_chars: int = 1 << 24):
         super().__init__()
-        self.encode_all, self.most = encode_all, most
+        self.encode_all, self.most, self.most_chars, self.chars = encode_all, most, most_chars, 0
 
     def learn(self, pieces) -> None:
-        if len(self) > self.most:
+        if len(self) > self.most or self.chars > self.most_chars:
             self.clear()
+            self.chars = 0
         new = [p for p in set(pieces) if p not in self]
         if new:
+            self.chars += sum(map(len, new))
             self.update(self.encode_all(new))

@@ -10,11 +10,13 @@ Words, tables and known pairs stay in the Python worker; nothing is shuffled or
 
 Defined results: a null text counts as empty and has no tokens; special strings in a text become
 their special tokens, as the library has it by default; rows are encoded alone, so repeated rows
-are encoded alike; other columns than those asked for are ignored.
+are encoded alike; other columns than those asked for are ignored. An unbroken word of n letters
+takes n log n steps.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -29,9 +31,39 @@ from tokenizers import Tokenizer
 
 from flowquarry.llm.pretokens import UNUSUAL, WORD_LEVEL, Kept, mapped
 
+#: Most symbols of a word that is merged by looking through all its pairs.
+SHORT = 40
+#: What this module knows of a file, but for its vocabulary and merges; other files are left to the library.
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+PLAIN_TOKEN = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def is_known(spec: dict) -> bool:
+    """Whether words, merges and special strings of a file are what this module takes them for."""
+    return (
+        spec["normalizer"] == NORMALIZER
+        and spec["pre_tokenizer"] == PRE_TOKENIZER
+        and spec["decoder"] is None
+        and all(spec["model"].get(k) == v for k, v in MODEL.items())
+        and all(t[k] == v for t in spec["added_tokens"] for k, v in PLAIN_TOKEN.items())
+    )
+
 
 class SpeculativeBpe:
-    """Encodes and decodes with a word-level BPE file of the tokenizers library."""
+    """Encodes and decodes with a word-level BPE file of the tokenizers library.
+
+    A file with another normaliser, splitter, decoder or kind of special strings than this module
+    knows is encoded and decoded by the library itself.
+    """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -39,6 +71,9 @@ class SpeculativeBpe:
         self.library.no_padding()
         spec = json.loads(self.library.to_str())
         model = spec["model"]
+        self.known = is_known(spec)
+        if not self.known:
+            return
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m): r for r, m in enumerate(model["merges"])}
@@ -49,6 +84,9 @@ class SpeculativeBpe:
         for token, i in [*self.vocab.items(), *special.items()]:
             self.tokens[i] = token
         self.longest = max(map(len, self.vocab))
+        self.reach: dict[str, int] = {}  # the longest token that begins with two letters
+        for token in self.vocab:
+            self.reach[token[:2]] = max(len(token), self.reach.get(token[:2], 0))
         self.width = len(self.tokens)
         self.good = np.empty(0, np.int64)
         self.bad = np.empty(0, np.int64)
@@ -61,6 +99,8 @@ class SpeculativeBpe:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Exact merging: the lowest rank first, leftmost among equals."""
+        if len(symbols) > SHORT:
+            return self._merge_long(symbols)
         out, ranks = list(symbols), self.ranks
         while len(out) > 1:
             found = [ranks.get(pair, 1 << 60) for pair in zip(out, out[1:])]
@@ -71,15 +111,37 @@ class SpeculativeBpe:
             out[at : at + 2] = [out[at] + out[at + 1]]
         return out
 
+    def _merge_long(self, symbols: list[str]) -> list[str]:
+        """The same with a heap of pairs over a linked list: n log n steps for n symbols."""
+        out, ranks, n = list(symbols), self.ranks, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, pair in enumerate(zip(out, out[1:])) if (r := ranks.get(pair)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or ranks.get((out[i], out[j])) != r:
+                continue  # one of the two has been merged since
+            out[i] += out[j]
+            out[j] = ""  # no pair has an empty symbol
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := ranks.get((out[i], out[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := ranks.get((out[h], out[i]))) is not None:
+                heapq.heappush(heap, (r, h))
+        return [s for s in out if s]
+
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; the word's last token carries the end mark."""
         vocab, n, i, out = self.vocab, len(word), 0, []
         marked = word + self.suffix
         while i < n:
-            if (token := vocab.get(marked[i:])) is not None:
+            if len(marked) - i <= self.longest and (token := vocab.get(marked[i:])) is not None:
                 out.append(token)
                 break
-            for j in range(min(n - 1, i + self.longest), i, -1):
+            for j in range(min(n - 1, i + self.reach.get(word[i : i + 2], 1)), i, -1):
                 if (token := vocab.get(word[i:j])) is not None:
                     out.append(token)
                     i = j
@@ -150,6 +212,8 @@ class SpeculativeBpe:
         return list(chain.from_iterable(found))
 
     def encode(self, text: str) -> list[int]:
+        if not self.known:
+            return self.library.encode(text, add_special_tokens=False).ids
         if self.special_re is None or not self.special_re.search(text):
             return self._plain(text)
         out, at = [], 0
@@ -161,6 +225,8 @@ class SpeculativeBpe:
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text. Words new to this worker are proposed and verified together."""
+        if not self.known:
+            return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
         split: list[list[str] | None] = []
         for text in texts:
             lower = text.lower()
@@ -175,6 +241,8 @@ class SpeculativeBpe:
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces: the file has no decoder of its own."""
+        if not self.known:
+            return self.library.decode(ids, skip_special_tokens=False)
         return " ".join(map(self.tokens.__getitem__, ids))
 
 

@@ -111,3 +111,31 @@ def test_one_shard_by_hand(tmp_path):
         assert reader.get(keys[n])[0].tolist() == [x + (70_000 if n % 3 else 0) for x in range(n % 50)]
     assert sum(reader.may_have(sstable.key_of(f"none/{i}")) for i in range(2000)) < 60
     assert reader.get(sstable.key_of("doc/9/none")) == []
+
+
+def test_unbroken_words():
+    """Long words take the library's result, in a time that does not grow with their square."""
+    import random
+    import time
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    bpe, library = spec_bpe.SpeculativeBpe(path), Tokenizer.from_file(path)
+    rnd = random.Random(4)
+    for text in ("a" * 3000, "".join(rnd.choices("abcdefghij", k=3000)), "ab" * 1500 + "é" * 50, "".join(rnd.choices("theranio", k=41))):
+        assert bpe.encode(text) == library.encode(text, add_special_tokens=False).ids
+    began = time.time()
+    long = "".join(rnd.choices("theraniosl", k=100_000))
+    ids = bpe.encode(long)
+    assert time.time() - began < 2 and bpe.decode(ids).replace("</w>", "").replace(" ", "") == long
+
+
+def test_other_files_are_left_to_the_library(tmp_path):
+    import json
+
+    spec = json.loads(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).to_str())
+    spec["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    bpe, library = spec_bpe.SpeculativeBpe(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    for text in ("plain words", "UPPER Case", "ünïcode 字", ""):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert bpe.encode(text) == ids == bpe.encode_all([text])[0] and bpe.decode(ids) == library.decode(ids, skip_special_tokens=False)
