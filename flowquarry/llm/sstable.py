@@ -7,7 +7,7 @@ A shard holds documents in the order of their identifiers. Its parts, one after
              their number as uint32; the block is compressed with zstd
     index    for each block its last key, offset, length and number of entries
     bloom    a Bloom filter over the keys: number of hashes, then bits
-    footer   48 bytes: offset and length of index and bloom, entries, tokens, version, magic
+    footer   56 bytes: offset and length of index and bloom, entries, tokens, version, magic
 
 All numbers are little-endian. A key is one byte, 0 for null or 1, and the identifier: integers as 8
 bytes big-endian with the sign flipped, strings as UTF-8; so keys sort as identifiers do, nulls
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import struct
 import uuid
 from array import array
@@ -46,10 +47,12 @@ from flowquarry.llm.pretokens import BYTE_LEVEL, UNUSUAL, Kept, mapped
 from flowquarry.llm.spec_bpe import pieces
 
 MAGIC = 0x46515353
-FOOTER = struct.Struct("<QQQQQII")
+VERSION = 2
+FOOTER = struct.Struct("<QQQQQQII")
 RESTART = 16
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
 # --- keys -----------------------------------------------------------------------------------------
@@ -151,7 +154,7 @@ class ShardWriter:
             for p in _bloom_places(key, bits, BLOOM_HASHES):
                 filter_[p >> 3] |= 1 << (p & 7)
         self._write(struct.pack("<IQ", BLOOM_HASHES, bits) + filter_.tobytes())
-        self._write(FOOTER.pack(index_at, bloom_at - index_at, bloom_at, self.at - bloom_at, len(self.keys), self.tokens & 0xFFFFFFFF, MAGIC))
+        self._write(FOOTER.pack(index_at, bloom_at - index_at, bloom_at, self.at - bloom_at, len(self.keys), self.tokens, VERSION, MAGIC))
 
 
 class ShardReader:
@@ -163,8 +166,8 @@ class ShardReader:
         size = self.file.size()
         if size < FOOTER.size:
             raise ValueError(f"{path} is no shard")
-        at, n, self.bloom_at, self.bloom_n, self.entries, _, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
-        if magic != MAGIC:
+        at, n, self.bloom_at, self.bloom_n, self.entries, self.tokens, version, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
+        if (version, magic) != (VERSION, MAGIC):
             raise ValueError(f"{path} is no shard")
         self.index, data, p = [], self.file.read_at(n, at), 0
         while p < n:
@@ -172,6 +175,7 @@ class ShardReader:
             self.index.append((data[p : p + length], *struct.unpack_from("<QII", data, p + length)))
             p += length + 16
         self.last_keys = [x[0] for x in self.index]
+        self.bloom = b""  # read when first asked
         self.unpack = zstandard.ZstdDecompressor()
 
     def close(self) -> None:
@@ -203,8 +207,9 @@ class ShardReader:
             yield from self._entries(data, 0, end)
 
     def may_have(self, key: bytes) -> bool:
-        hashes, bits = struct.unpack("<IQ", self.file.read_at(12, self.bloom_at))
-        return all(self.file.read_at(1, self.bloom_at + 12 + (p >> 3))[0] >> (p & 7) & 1 for p in _bloom_places(key, bits, hashes))
+        self.bloom = self.bloom or self.file.read_at(self.bloom_n, self.bloom_at)
+        hashes, bits = struct.unpack_from("<IQ", self.bloom)
+        return all(self.bloom[12 + (p >> 3)] >> (p & 7) & 1 for p in _bloom_places(key, bits, hashes))
 
     def get(self, key: bytes) -> list[np.ndarray]:
         """Ids of all entries with this key."""
@@ -234,6 +239,9 @@ class ByteBpe:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         model = self.library.model
+        spec = json.loads(self.library.to_str())
+        #: Whether words are split as BYTE_LEVEL does; other files are left to the library.
+        self.known = spec["normalizer"] is None and spec["pre_tokenizer"] == PRE_TOKENIZER and spec["model"]["type"] == "BPE"
 
         def encode_all(words: list[str]):
             for w in words:
@@ -244,7 +252,7 @@ class ByteBpe:
         self.kept = Kept(encode_all, 600_000)
 
     def encode(self, text: str) -> np.ndarray:
-        if UNUSUAL.search(text) or any(s in text for s in self.special):
+        if not self.known or UNUSUAL.search(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         words = BYTE_LEVEL.findall(text)
         try:
