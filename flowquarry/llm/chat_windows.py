@@ -2,16 +2,22 @@
 
 Conversations are cut into windows of at most `budget` tokens. Prefix sums of turn tokens choose
 where a window ends; the leading system turn stands in every window, up to `history` tokens of the
-turns before a window are repeated in it, and only assistant turns that are new in a window are
-under its loss mask, so each is a target once. A turn larger than the budget is a window of its own.
+turns before a window are repeated in it, as many of the last ones as fit beside its first new turn,
+and only assistant turns that are new in a window are under its loss mask, so each is a target once.
+No turn is cut: a turn that does not fit with the system turn is the only new one of its window, and
+such windows have `over_budget`; a consumer with a fixed length drops or splits these.
+
+Budgets are in the tokens of `tokens_col`, which a tokenizer has counted (`token_count` does). Where
+there is no such column, words and punctuation marks are counted instead; marks and letters are
+those of Unicode, but that is not what any tokenizer counts, and differs from it by language.
 
 Control strings inside texts are quoted by counting: `<`, n backslashes, `s>` becomes `<`, n + 1
 backslashes, `s>`, and so for all of CONTROL. After that no control string stands in a text, and
 taking one backslash away restores it, whatever the text was.
 
 Built-in expressions only. One shuffle, on the conversation. A running sum over its sorted rows cuts
-very long conversations into blocks of `block` tokens, and only a block is gathered into one row;
-history does not cross a block border.
+very long conversations into blocks of `block` tokens, and only a block, with the last `history`
+tokens of the turns before it, is gathered into one row.
 
 Defined results: null role or text is empty; turns are ordered by turn, role, text, with nulls
 first, so repeated rows are separate turns; a null conversation identifier is a conversation; other
@@ -53,7 +59,7 @@ def unquote(text: Column) -> Column:
 
 def n_tokens(text: Column) -> Column:
     """Words and punctuation marks."""
-    return F.regexp_count(text, F.lit(r"\w+|[^\w\s]"))
+    return F.regexp_count(text, F.lit(r"(?U)\w+|[^\w\s]"))
 
 
 def _plan(turns: Column, system: Column, config: ChatConfig) -> Column:
@@ -61,20 +67,20 @@ def _plan(turns: Column, system: Column, config: ChatConfig) -> Column:
     prefix = F.transform(turns, lambda t: t["before"])
 
     def windows(p: Column) -> Column:
-        def history(i: Column) -> Column:
-            return F.size(F.filter(p, lambda x: (x < F.get(p, i)) & (F.get(p, i) - x > config.history)))
+        def history(i: Column, most: Column) -> Column:
+            """The first of the turns before i that have no more than so many tokens together."""
+            return F.size(F.filter(p, lambda x: (x < F.get(p, i)) & (F.get(p, i) - x > most)))
 
         def step(acc: Column, t: Column) -> Column:
             fits = (acc["used"] + t["tokens"] <= config.budget) & (F.size(acc["starts"]) > 0)
-            h = history(t["i"])
             # history gives way to a new turn that would not fit beside it
-            room = system + F.get(p, t["i"]) - F.get(p, h) + t["tokens"] <= config.budget
-            first = F.when(room, h).otherwise(t["i"])
+            first = history(t["i"], F.least(F.lit(config.history).cast("long"), F.lit(config.budget) - system - t["tokens"]))
+            opened = F.concat(acc["starts"], F.array(t["i"])).alias("starts")
             return F.when(fits, F.struct(acc["starts"].alias("starts"), acc["hists"].alias("hists"), (acc["used"] + t["tokens"]).alias("used"))).otherwise(
                 let(
                     first,
                     lambda f: F.struct(
-                        F.concat(acc["starts"], F.array(t["i"])).alias("starts"),
+                        opened,
                         F.concat(acc["hists"], F.array(f)).alias("hists"),
                         (system + F.get(p, t["i"]) - F.get(p, f) + t["tokens"]).alias("used"),
                     ),
@@ -83,7 +89,7 @@ def _plan(turns: Column, system: Column, config: ChatConfig) -> Column:
 
         none = F.array().cast("array<int>")
         start = F.struct(none.alias("starts"), none.alias("hists"), F.lit(0).cast("long").alias("used"))
-        folded = F.aggregate(turns, start, step)
+        folded = F.aggregate(F.filter(turns, lambda t: t["new"]), start, step)
         return let(
             folded,
             lambda a: F.transform(
@@ -124,11 +130,13 @@ def _render(segments: Column) -> Column:
     return F.struct(F.concat(F.lit(BEGIN), body, F.lit(END)).alias("formatted"), F.aggregate(sizes, start, step)["spans"].alias("spans"))
 
 
-def format_chats(turns: DataFrame, config: ChatConfig = ChatConfig()) -> DataFrame:
-    """Windows: conv_id, window_no, n_repeated turns at its head, tokens, formatted text, loss_spans (0-based start, length)."""
+def format_chats(turns: DataFrame, config: ChatConfig = ChatConfig(), tokens_col: str | None = None) -> DataFrame:
+    """Windows: conv_id, window_no, n_repeated turns at its head, tokens, over_budget, formatted text, loss_spans (0-based start, length)."""
+    said = F.coalesce("text", F.lit(""))
+    counted = F.coalesce(F.col(tokens_col), F.lit(0)) if tokens_col else n_tokens(said)
     rows = turns.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("tokens", (n_tokens(F.col("text")) + config.turn_cost).cast("long"))
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), said.alias("text"), (counted + config.turn_cost).cast("long").alias("tokens")
+    )
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -140,14 +148,25 @@ def format_chats(turns: DataFrame, config: ChatConfig = ChatConfig()) -> DataFra
         .withColumn("system", F.first(F.when(F.col("leads"), F.struct("role", "text", "tokens"))).over(upto))
         .withColumn("block", F.floor(F.col("before") / config.block))
     )
-    blocks = rows.groupBy("conv_id", "block").agg(
-        F.sort_array(F.collect_list(F.when(~F.col("leads"), F.struct("n", "role", "text", "tokens", "before")))).alias("turns"),
-        F.first("system").alias("system"),
+    # the last turns of a block are history of the next one, which begins where this one's tokens end
+    end = F.max(F.when(~F.col("leads"), F.col("before") + F.col("tokens"))).over(Window.partitionBy("conv_id", "block"))
+    rows = rows.withColumn("end", end).withColumn("after", F.floor(F.col("end") / config.block))
+    own = F.struct(F.col("block").alias("of"), F.lit(True).alias("new"))
+    carried = F.when(~F.col("leads") & (F.col("after") > F.col("block")) & (F.col("end") - F.col("before") <= config.history), F.array(own, F.struct(F.col("after").alias("of"), F.lit(False).alias("new"))))
+    rows = rows.withColumn("to", F.explode(F.coalesce(carried, F.array(own)))).withColumn("new", F.col("to")["new"])
+    blocks = (
+        rows.groupBy("conv_id", F.col("to")["of"].alias("block"))
+        .agg(
+            F.sort_array(F.collect_list(F.when(~F.col("leads"), F.struct("n", "role", "text", "tokens", "before", "new")))).alias("turns"),
+            F.first("system").alias("system"),
+            F.max("new").alias("any_new"),
+        )
+        .filter("any_new")
     )
     base = F.get("turns", F.lit(0))["before"]
     numbered = F.transform(
         "turns",
-        lambda t, i: F.struct(i.alias("i"), t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens"), (t["before"] - base).alias("before")),
+        lambda t, i: F.struct(i.alias("i"), t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens"), (t["before"] - base).alias("before"), t["new"].alias("new")),
     )
     cost = F.coalesce(F.col("system")["tokens"], F.lit(0).cast("long"))
     only_system = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("hist"), F.lit(0).alias("end")))
@@ -174,6 +193,7 @@ def format_chats(turns: DataFrame, config: ChatConfig = ChatConfig()) -> DataFra
         (F.col("block") * (1 << 32) + F.col("k")).alias("window_no"),
         repeated.alias("n_repeated"),
         F.col("w")["tokens"].alias("tokens"),
+        (F.col("w")["tokens"] > config.budget).alias("over_budget"),
         F.col("w")["out"]["formatted"].alias("formatted"),
         F.col("w")["out"]["spans"].alias("loss_spans"),
     )

@@ -110,3 +110,29 @@ def test_no_chats(spark, tmp_path):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     path = cw.write_windows(cw.format_chats(df), f"file://{tmp_path}/none")
     assert cw.digest(cw.read_back(spark, path)).count() == 0
+
+
+def test_history_crosses_blocks(spark):
+    """The same windows with small blocks as with one block, but for the borders that blocks add; each repeats the turns before it."""
+    rows = [(1, i, "user" if i % 2 else "assistant", f"turn {i} " + "w " * (i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("count", F.lit(6).cast("int"))
+    config = cw.ChatConfig(budget=50, history=20, block=100)
+    for w in cw.format_chats(df, config, "count").orderBy("window_no").collect():
+        said = [int(x.split("turn ")[1].split(" ")[0]) for x in w.formatted.split("[TURN]")[1:]]
+        assert said == list(range(said[0], said[0] + len(said))) and w.tokens == 10 * len(said) <= 50 and not w.over_budget
+        assert w.n_repeated == (0 if said[0] == 0 else 2)
+
+
+def test_long_conversation_in_default_blocks(spark, tmp_path):
+    rows = [(1, 0, "system", "be brief")] + [(1, i, "user" if i % 2 else "assistant", f"n{i} " * 900) for i in range(1, 500)]
+    read = run(spark, rows, cw.ChatConfig(), tmp_path, "long")
+    assert read.select(F.floor(F.col("window_no") / (1 << 32)).alias("b")).distinct().count() > 1
+    got = {r.conv_id: tuple(r)[1:5] for r in cw.digest(read).collect()}
+    assert got == want(rows)
+
+
+def test_lines_with_a_clashing_column(spark):
+    rows = [(1, "a\nb\nc", 5), (2, "a\nb\nc\nd", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, line_dedup int")
+    assert {(r.doc_id, r.line_dedup.n_removed) for r in line_dedup.dedup_lines(df, counts=True).collect()} == {(1, 0), (2, 3)}
+    assert {tuple(r) for r in line_dedup.dedup_lines(df).collect()} == {(1, "a\nb\nc", 5), (2, "d", 6)}
