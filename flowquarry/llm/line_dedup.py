@@ -12,7 +12,8 @@ of its own line positions.
 Defined results: a null text stays null with no lines; texts of one or two lines have no window and
 stay as they are; null identifiers come after all others; rows with equal identifier and text are
 one document and get the same result each; a document may lose all its lines and is then empty;
-other columns pass through `dedup_lines`, whatever their names; an empty table gives no rows.
+other columns pass through `dedup_lines`, whatever their names, but for one named line_dedup where
+the counts are asked for, which take its place; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def _without(lines: Column, runs: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """docs with text_col cleaned; with counts, a struct `line_dedup` of n_lines, n_removed and n_spans is added."""
+    """docs with text_col cleaned; with counts, a struct `line_dedup` of n_lines, n_removed and n_spans is added, in place of a column of that name."""
     later = later_windows(line_windows(docs, id_col, text_col))
     names = docs.columns
     joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__fq_row"), *_keyed(docs, id_col, text_col)).join(
@@ -95,7 +96,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cleaned = F.when(F.col("__fq_runs").isNull(), F.col("__fq_row")[text_col]).otherwise(
         let(lines, lambda x: let(F.col("__fq_runs"), lambda r: _without(x, r)))
     )
-    columns = [(cleaned if c == text_col else F.col("__fq_row")[c]).alias(c) for c in names]
+    columns = [(cleaned if c == text_col else F.col("__fq_row")[c]).alias(c) for c in names if not (counts and c == "line_dedup")]
     if counts:
         gone = F.aggregate(F.col("__fq_runs"), F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
         columns.append(

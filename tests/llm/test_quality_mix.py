@@ -4,6 +4,8 @@ import math
 import random
 import re
 
+import pytest
+
 from flowquarry.llm import quality_llr, raking
 
 
@@ -112,3 +114,39 @@ def test_rejection_does_not_fall_with_size(spark, monkeypatch):
             monkeypatch.setattr(quality_llr, "VARIABLE", variable)
             monkeypatch.setattr(quality_llr, "BROADCAST", broadcast)
             assert rejected(600) == large
+
+
+def test_given_targets_and_tolerance(spark):
+    rows = [("a", "en", 600), ("a", "de", 300), ("b", "en", 100), ("b", "de", 200), (None, "en", 50)]
+    cells = spark.createDataFrame(rows, "source string, lang string, tokens long")
+    margins = [raking.Margin("source", weights={"a": 1.0, "b": 3.0, None: 0.0}), raking.Margin("lang", weights={"en": 1, "de": 1})]
+    rated = raking.rake(cells, margins, sweeps=2, tolerance=1e-9)
+    assert {r.source for r in rated.collect() if r.rate == 0} == {None}
+    errors = {(r.margin, r.value): r for r in raking.margin_errors(rated, margins).collect()}
+    assert errors["source", "b"].target == 0.75 and all(abs(r.error) < 1e-6 for r in errors.values())
+    with pytest.raises(ValueError, match="no tokens"):
+        raking.rake(cells, [raking.Margin("source", weights={"a": 1, "z": 1})])
+    apart = spark.createDataFrame([("a", "en", 5), ("b", "de", 5)], "source string, lang string, tokens long")
+    with pytest.raises(ValueError, match="sweeps"):
+        raking.rake(apart, [raking.Margin("source", weights={"a": 1, "b": 3}), raking.Margin("lang", weights={"en": 1, "de": 1})], sweeps=5, tolerance=1e-6, most=10)
+
+
+def test_share_keeps_scarce_cells_whole(spark):
+    """One document of a rare source sets the scale of all others, unless a share is asked for."""
+    cells = spark.createDataFrame([("a", 500_000), ("b", 400_000), ("c", 50)], "source string, tokens long")
+    margin = [raking.Margin("source", 0.5)]
+    kept = lambda rated: {r.source: r.rate * r.tokens for r in rated.collect()}
+    assert sum(kept(raking.rake(cells, margin)).values()) < 20_000
+    for share in (0.001, 0.3, 0.9, 1.0):
+        got = kept(raking.rake(cells, margin, share=share))
+        assert abs(sum(got.values()) - share * 900_050) < 2 and got["c"] == 50 * min(1.0, got["c"] / 50)
+    assert got == {"a": 500_000, "b": 400_000, "c": 50}
+
+
+def test_mix_with_clashing_and_counted_columns(spark):
+    rows = [(i, f"text {i}", "en", f"s{i % 2}", 10 * (i % 3), "m", None if i == 4 else i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic int, mixing string, tokens long")
+    mixed = raking.mix(df, tokens_col="tokens").collect()
+    assert all(r.mixing.n_tokens == (r.tokens or 0) and r.mixing.topic == r.topic for r in mixed) and len(mixed) == 40
+    sample = raking.sample_mix(df)
+    assert sample.columns == df.columns and {r.mixing for r in sample.collect()} == {"m"}
