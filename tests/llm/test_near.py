@@ -1,5 +1,7 @@
 """op6, op9 and op10 against brute force."""
 
+import collections
+import functools
 import hashlib
 import itertools
 import random
@@ -7,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from flowquarry.llm import components, jaccard_join, order_minhash, suffix_dedup
 
@@ -171,3 +174,67 @@ def test_suffix_dedup_of_huge_texts(spark):
 def test_plain_texts_make_few_pieces():
     start, size, core = suffix_dedup.cut(np.full(1_000_000, 97, np.uint8), np.array([0, 1_000_000]))
     assert size.sum() == 1_000_000 - 49 and len(np.unique(core)) == 1 and len(core) < 80_000 and (np.diff(start) == size[:-1]).all()
+
+
+def h64(word):
+    n = xxhash.xxh64_intdigest(word.encode(), 42)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def long64(x, seed=42):
+    n = xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed & (1 << 64) - 1)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def int64(x, seed):
+    n = xxhash.xxh64_intdigest(x.to_bytes(4, "little"), seed & (1 << 64) - 1)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def brute_signature(text):
+    """The two least numbered k-mers of each of 32 bins of the hash range, in text order, hashed."""
+    hs = [h64(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    chain = lambda xs: functools.reduce(lambda seed, x: long64(x, seed), xs, 42)
+    kmers = [chain(hs[i : i + 3]) for i in range(len(hs) - 2)] if len(hs) >= 3 else [chain(hs)] if hs else []
+    seen, bins = collections.Counter(), collections.defaultdict(list)
+    for i, x in enumerate(kmers):
+        high = int64(seen[x], long64(x)) >> 28
+        seen[x] += 1
+        bins[high >> 31].append((high, i))
+    out = {}
+    for b, own in bins.items():
+        tuple_ = [h for h, _ in sorted(sorted(own)[:2], key=lambda e: e[1])]
+        out[b % 32] = (chain(tuple_) & (1 << 64) - 1) >> 37
+    return out
+
+
+def brute_likeness(a, b):
+    filled = a.keys() | b.keys()
+    return sum(a.get(k) == b.get(k) for k in filled) / len(filled) if filled else 1.0
+
+
+def test_order_minhash_against_brute_force(spark):
+    rnd = random.Random(8)
+    word = lambda: rnd.choice(["the", "of", "and", *(f"w{i}" for i in range(60))])
+    texts = [" ".join(word() for _ in range(n)) for n in (0, 1, 2, 3, 4, 30, 31, 200, 200, 2000)]
+    texts += [texts[7] + " more", texts[8][3:], "x " * 50, None, "\n\t", texts[7]]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in order_minhash.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, t in rows:
+        t, after = t or "", rows[(i - 1) % len(rows)][1] or ""  # descending, and after the last the first
+        cut = len(t) // 3
+        own, edited, following = (brute_signature(x) for x in (t, t[: len(t) - cut] + after[:cut], after))
+        shown = lambda s: "".join(f"{b << 27 | v:08x}" for b, v in s.items())
+        assert sorted(got[i].fingerprint[k : k + 8] for k in range(0, len(got[i].fingerprint), 8)) == sorted(shown({b: v}) for b, v in own.items())
+        assert abs(got[i].near_edited - brute_likeness(own, edited)) < 1e-12 and abs(got[i].near_next - brute_likeness(own, following)) < 1e-12
+        assert len(got[i].edited_fingerprint) == 8 * len(edited)
+
+
+def test_a_shingle_in_half_of_all_documents(spark):
+    """A frequent passage with rare surroundings, and pairs that share little but it."""
+    rnd = random.Random(6)
+    common = "we use cookies to make this site work and to measure its use"
+    rows = [(i, (common + " " if i % 2 else "") + " ".join(f"v{rnd.randint(0, 400)}" for _ in range(rnd.choice([3, 20])))) for i in range(300)]
+    rows += [(1000 + i, t + " end") for i, t in rows[:40]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 80).collect()}
+    assert got == brute_components(sets_of(rows, 3), 80)
