@@ -41,11 +41,10 @@ def flow_is_new(packets: DataFrame, timeout_s: int = 3600, late: str = "30 secon
             return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["ts", "pkt_no"], kind="stable")
-        times = rows["ts"].astype("int64").floordiv(1000).tolist()
-        unit = 1_000_000 if rows["ts"].dtype == "datetime64[ns]" else 1_000_000
+        times = rows["ts"].dt.as_unit("us").astype("int64").tolist()
         new = []
         for t in times:
-            new.append(last is None or t - last > timeout_s * unit)
+            new.append(last is None or t - last > timeout_s * 1_000_000)
             last = t if last is None else max(t, last)
         state.update((last,))
         watermark = state.getCurrentWatermarkMs()
