@@ -118,10 +118,10 @@ def names_not_in(names: DataFrame, protocol: str, other: str) -> DataFrame:
     return mine.join(rows.filter(F.col("protocol") == other).select("name").distinct(), "name", "left_anti")
 
 
-def correlation_object(records: DataFrame) -> DataFrame:
-    """The flat projection by which records of several observers are matched."""
+def correlation_object(records: DataFrame, *keep: str) -> DataFrame:
+    """The flat projection by which records of several observers are matched, behind the columns to keep."""
     return records.select(
-        "src_ip", "dst_ip", "src_port", "dst_port", F.coalesce("protocol", F.lit(6)).alias("protocol"), "ip_id", "tls_random", "tls_sni",
+        *keep, "src_ip", "dst_ip", "src_port", "dst_port", F.coalesce("protocol", F.lit(6)).alias("protocol"), "ip_id", "tls_random", "tls_sni",
         "http_host", "http_xff", "dns_id", F.array_join("dns_names", ";").alias("dns_names"),
     )
 

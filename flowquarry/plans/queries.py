@@ -550,7 +550,7 @@ def correlation_object(spark, sf_dir):
         F.when(tls, F.md5(F.col("event_id").cast("string"))).alias("tls_random"), F.when(tls, F.col("sni")).alias("tls_sni"), F.when(http, F.col("sni")).alias("http_host"),
         F.lit(None).cast("string").alias("http_xff"), (F.col("event_id") % 7).alias("dns_id"), F.array("sni", "process").alias("dns_names"),
     )
-    return rows.select("event_id", *[c for c in rows.columns if c not in ("event_id", "dns_names")], F.array_join("dns_names", ";").alias("dns_names"))
+    return stats.correlation_object(rows, "event_id")
 
 
 @query("mean_and_deviation", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stddev FROM events GROUP BY event_type")
@@ -652,7 +652,7 @@ def mask_value(spark, sf_dir):
 
 @query(
     "batch_gcd",
-    """WITH m AS (SELECT s_suppkey AS line, (2 * s_suppkey + 101) * (2 * (s_suppkey % 37) + 10007) AS n FROM supplier WHERE s_suppkey <= 300), u AS (SELECT n, min(line) AS line FROM m GROUP BY n)
+    """WITH m AS (SELECT s_suppkey AS line, (2 * s_suppkey + 101) * (2 * (s_suppkey % 37) + 10007) AS n FROM supplier), u AS (SELECT n, min(line) AS line FROM m GROUP BY n)
 SELECT a.line, b.line AS other, lower(printf('%x', gcd(a.n, b.n))) AS factor FROM u a JOIN u b ON a.line <> b.line WHERE gcd(a.n, b.n) > 1""",
 )
 def batch_gcd(spark, sf_dir):
