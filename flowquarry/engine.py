@@ -56,8 +56,9 @@ class Engine:
         return read_pcap(self.spark, path)
 
     def records(self, rows: DataFrame) -> DataFrame:
-        """Parsed records of packets."""
-        return packets.parse_packets(rows, self.config.select)
+        """Parsed records of packets; with `reassembly`, of messages over several TCP segments too."""
+        parse = packets.parse_reassembled if self.config.reassembly else packets.parse_packets
+        return parse(rows, self.config.select, self.config.format)
 
     def lines(self, records: DataFrame) -> DataFrame:
         return records.select(packets.record_json(self.config.metadata).alias("value"))

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.parse.packet import NAMES, RECORD, record
+from flowquarry.operators.reassembly import KEY, reassemble
+from flowquarry.parse.packet import MESSAGE, NAMES, RECORD, formats, message, record
 
 #: Selector names and the message types that they stand for.
 SELECTORS = {
@@ -35,19 +36,20 @@ def selected(select: str | None) -> list[str] | None:
     return sorted({t for n in names for t in SELECTORS[n]})
 
 
-def parse_packets(packets: DataFrame, select: str | None = None) -> DataFrame:
+def parse_packets(packets: DataFrame, select: str | None = None, fmt: str = "", every: bool = False) -> DataFrame:
     """One record for each packet (file, pkt_no, ts_sec, ts_nanos, linktype, data) that has one of the types.
 
     The selection runs inside the parsing stage, so other packets never leave it. Narrow: no shuffle.
+    fmt chooses fingerprint formats (FP22); every keeps packets above IP without a message too.
     """
-    wanted = selected(select)
+    wanted, chosen = selected(select), formats(fmt)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for file, no, sec, nanos, linktype, data in zip(*(frame[c] for c in ("file", "pkt_no", "ts_sec", "ts_nanos", "linktype", "data")), strict=True):
-                row = record(bytes(data), int(linktype)) if data is not None else None
-                if row is not None and row["msg_type"] is not None if wanted is None else row is not None and row["msg_type"] in wanted:
+                row = record(bytes(data), int(linktype), chosen) if data is not None else None
+                if every and row is not None or row is not None and row["msg_type"] is not None if wanted is None else row is not None and row["msg_type"] in wanted:
                     rows.append({"file": file, "pkt_no": no, "event_start": sec + round(nanos / 1000) / 1e6, **row})
             out = pd.DataFrame(rows, columns=["file", "pkt_no", "event_start", *NAMES])
             yield out.astype({c: "Int64" for c in ("src_port", "dst_port", "protocol", "ip_version", "ttl", "ip_id", "seq", "flags")})
@@ -55,6 +57,32 @@ def parse_packets(packets: DataFrame, select: str | None = None) -> DataFrame:
     return packets.select("file", "pkt_no", "ts_sec", "ts_nanos", "linktype", "data").mapInPandas(run, f"file string, pkt_no long, event_start double, {RECORD}")
 
 
+def parse_reassembled(packets: DataFrame, select: str | None = None, fmt: str = "") -> DataFrame:
+    """T4: the records of parse_packets, with `reassembly`, where messages over several TCP segments are put together first.
+
+    The record of such a message stands at its first packet. One shuffle of the TCP payloads, by
+    flow; other packets pass by it.
+    """
+    rows, chosen = parse_packets(packets, "all", fmt, every=True), formats(fmt)
+    data = rows.filter((F.col("protocol") == 6) & (F.length("payload") > 0)).withColumn("ts", F.col("event_start"))
+    joined = reassemble(data).filter("segments > 1").select(*KEY, "pkt_no", "data", F.col("status").alias("reassembly"))
+    schema = ", ".join(f"{k} {dict(data.dtypes)[k]}" for k in [*KEY, "pkt_no"]) + ", reassembly string, " + ", ".join(f"new_{k} {dict(data.dtypes)[k]}" for k in MESSAGE)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [message(bytes(d), s, t, chosen) for d, s, t in zip(frame["data"], frame["src_port"], frame["dst_port"], strict=True)]
+            new = pd.DataFrame([{f"new_{k}": v for k, v in x.items()} for x in found], columns=[f"new_{k}" for k in MESSAGE], index=frame.index)
+            yield pd.concat([frame.drop(columns="data"), new], axis=1)
+
+    parsed = joined.mapInPandas(run, schema).filter("new_msg_type is not null")
+    whole = rows.join(parsed, [*KEY, "pkt_no"], "left")
+    own = F.col("reassembly").isNotNull()
+    columns = [F.when(own, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in MESSAGE else F.col(c) for c in rows.columns]
+    out = whole.select(*columns, F.coalesce("reassembly", F.lit("none")).alias("reassembly")).filter("msg_type is not null")
+    wanted = selected(select)
+    return out if wanted is None else out.filter(F.col("msg_type").isin(wanted))
+
+
 def record_json(metadata: bool = False) -> Column:
     """K1: a record as a JSON line; keys without a value are left out."""
     kind = F.substring_index("fingerprint", "/", 1)

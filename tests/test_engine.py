@@ -2,14 +2,18 @@
 
 import io
 import json
+import struct
 import tarfile
 
+import pytest
+
 from flowquarry.engine import Config, Engine
 from flowquarry.operators import resources
-from flowquarry.parse import cbor
+from flowquarry.parse import cbor, tls
 from flowquarry.plans import queries as plans
 from flowquarry.plans.flow_view import flows
 from flowquarry.sources import archive
+from tests.test_parse import ETH, hello, ip, tcp
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,3 +69,25 @@ def test_no_python_in_relational_plans(spark):
     for name in ("nb_classify", "lpm_asn", "stats_nested_flat", "residential_proxy", "normalize_server_name_detail", "fp_ja3"):
         plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
+
+
+def _segment(data, seq, src=40000):
+    return ETH + ip(struct.pack(">HHIIBBHHH", src, 443, seq, 1, 5 << 4, 0x18, 0xFAF0, 0, 0) + data, 6)
+
+
+def test_formats_and_reassembly(spark):
+    """A hello in one segment, and one that is split over two, which come in order and out of it."""
+    whole = hello()
+    sent = [_segment(whole, 1, 1000), _segment(whole[:40], 1, 1001), _segment(whole[40:], 41, 1001), ETH + ip(tcp(b"", flags=2), 6)]
+    rows = [("f", n, 100 + n, 0, 1, data) for n, data in enumerate(sent)]
+    df = spark.createDataFrame(rows, "file string, pkt_no long, ts_sec long, ts_nanos int, linktype int, data binary")
+    for number in ("", "/1", "/2"):
+        want = tls.parse_tls(whole, int(number[1:] or 0))["fingerprint"]
+        engine = Engine(spark, f"select=tls,tcp;format=tls{number},quic;reassembly")
+        got = {r.pkt_no: r for r in engine.records(df).collect()}
+        assert sorted(got) == [0, 1, 3] and got[3].msg_type == "tcp_syn"
+        assert got[0].fingerprint == got[1].fingerprint == want and want.startswith(f"tls{number}/(")
+        assert (got[0].reassembly, got[1].reassembly, got[1].server_name, got[1].truncated) == ("none", "reassembled", "a.example", False)
+    assert [r.pkt_no for r in Engine(spark, "select=tls").records(df).collect()] == [0]  # single packets show the whole one only
+    with pytest.raises(ValueError, match="unknown fingerprint format"):
+        Engine(spark, "format=tls/7").records(df)
