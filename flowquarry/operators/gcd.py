@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "line long, other long, factor string"
+#: Moduli of a block: one of 2048 bits is 512 digits, so a block's row is some 32 MB.
+BLOCK = 65_536
 
 
 def read_moduli(lines: DataFrame, number: str = "line", value: str = "hex") -> DataFrame:
@@ -51,8 +53,17 @@ def _tree(numbers: list[int]) -> list[list[int]]:
     return tree
 
 
-def shared_factors(moduli: DataFrame, blocks: int = 16) -> DataFrame:
-    """(line, other, factor) for every ordered pair of distinct moduli with a common factor over 1."""
+def block_count(moduli: DataFrame) -> int:
+    """So many blocks that each has some BLOCK moduli, 16 at least. One pass over the lines."""
+    return max(16, -(-moduli.count() // BLOCK))
+
+
+def shared_factors(moduli: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(line, other, factor) for every ordered pair of distinct moduli with a common factor over 1.
+
+    Without blocks their number follows from the count of moduli, so that no row outgrows a task.
+    """
+    blocks = blocks or block_count(moduli)
     own = distinct_moduli(moduli).withColumn("block", F.pmod(F.xxhash64("hex"), F.lit(blocks)).cast("int"))
     grouped = own.groupBy("block").agg(F.collect_list(F.struct("line", "hex")).alias("rows"))
 
@@ -90,7 +101,7 @@ def shared_factors(moduli: DataFrame, blocks: int = 16) -> DataFrame:
     return pairs.mapInPandas(verify, SCHEMA)
 
 
-def weak_moduli(moduli: DataFrame, blocks: int = 16) -> DataFrame:
+def weak_moduli(moduli: DataFrame, blocks: int | None = None) -> DataFrame:
     """One row for every distinct modulus that shares a factor: line, divides (another), factor, cofactor (the smaller first)."""
     shared = shared_factors(moduli, blocks)
     rows = shared.join(distinct_moduli(moduli), "line").groupBy("line", "hex").agg(F.collect_set("factor").alias("factors"))
@@ -112,7 +123,7 @@ def weak_moduli(moduli: DataFrame, blocks: int = 16) -> DataFrame:
     return rows.mapInPandas(split, "line long, hex string, divides boolean, p string, q string")
 
 
-def factor_groups(moduli: DataFrame, blocks: int = 16) -> DataFrame:
+def factor_groups(moduli: DataFrame, blocks: int | None = None) -> DataFrame:
     """(factor, lines): the lines of the moduli that have a factor; one that divides another has itself."""
     weak = weak_moduli(moduli, blocks)
     rows = weak.select("line", F.explode(F.array_distinct(F.array("p", "q"))).alias("factor")).filter("factor <> '1'")
@@ -120,7 +131,7 @@ def factor_groups(moduli: DataFrame, blocks: int = 16) -> DataFrame:
     return own.withColumn("digits", F.length("factor"))
 
 
-def report(moduli: DataFrame, blocks: int = 16) -> list[str]:
+def report(moduli: DataFrame, blocks: int | None = None) -> list[str]:
     """The lines of a text report, in the order of line numbers; the groups last, by ascending factor."""
     zero = [f"Zero modulus ignored: line {r['line']}" for r in moduli.filter("hex = '0'").orderBy("line").collect()]
     weak = []

@@ -6,11 +6,12 @@ side if its measured size allows it, else it shuffles both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.functions.fingerprints import fp_type, randomized_key
 from flowquarry.functions.ip import is_private_v4, v4_to_int, v6_hex
+from flowquarry.operators.state import seen_before
 
 
 def longest_prefix(rows: DataFrame, address: Column, prefixes: DataFrame, values: list[str]) -> DataFrame:
@@ -129,7 +130,8 @@ def with_status(flows: DataFrame, models: DataFrame, prevalent: DataFrame, types
     rows = flows.join(own, F.col("fp") == F.col("__fq_m"), "left").join(seen, F.col("fp") == F.col("__fq_p"), "left")
     again = F.lit(False)
     if first_seen:
-        again = F.row_number().over(Window.partitionBy("fp").orderBy("ts", "event_id")) > 1
+        rows = seen_before(rows, "fp", ["ts", "event_id"], "__fq_again")
+        again = F.col("__fq_again")
     status = (
         F.when(F.col("__fq_m").isNotNull(), "labeled")
         .when(~fp_type(F.col("fp")).isin(types), "unanalyzed")
@@ -139,7 +141,7 @@ def with_status(flows: DataFrame, models: DataFrame, prevalent: DataFrame, types
     )
     rows = rows.withColumn("status", status)
     model = F.when(F.col("status") == "labeled", F.col("fp")).when(F.col("status") == "randomized", randomized_key(F.col("fp")))
-    return rows.withColumn("model", model).drop("__fq_m", "__fq_p")
+    return rows.withColumn("model", model).drop("__fq_m", "__fq_p", "__fq_again")
 
 
 def label_by_connection(packets: DataFrame, connections: DataFrame) -> DataFrame:

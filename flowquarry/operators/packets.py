@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.operators.reassembly import KEY, reassemble
+from flowquarry.operators.reassembly import KEY, reassemble, reassemble_datagrams
 from flowquarry.parse.packet import MESSAGE, NAMES, RECORD, formats, message, record
 
 #: Selector names and the message types that they stand for.
@@ -58,24 +58,31 @@ def parse_packets(packets: DataFrame, select: str | None = None, fmt: str = "",
 
 
 def parse_reassembled(packets: DataFrame, select: str | None = None, fmt: str = "") -> DataFrame:
-    """T4: the records of parse_packets, with `reassembly`, where messages over several TCP segments are put together first.
+    """The records of parse_packets, with `reassembly`, where messages over several segments or datagrams are put together first.
 
-    The record of such a message stands at its first packet. One shuffle of the TCP payloads, by
-    flow; other packets pass by it.
+    The record of such a message stands at its first packet, and its other packets have none. One
+    shuffle of the TCP payloads, by flow, and one of DTLS and QUIC fragments; other packets pass by.
     """
     rows, chosen = parse_packets(packets, "all", fmt, every=True), formats(fmt)
-    data = rows.filter((F.col("protocol") == 6) & (F.length("payload") > 0)).withColumn("ts", F.col("event_start"))
-    joined = reassemble(data).filter("segments > 1").select(*KEY, "pkt_no", "data", F.col("status").alias("reassembly"))
-    schema = ", ".join(f"{k} {dict(data.dtypes)[k]}" for k in [*KEY, "pkt_no"]) + ", reassembly string, " + ", ".join(f"new_{k} {dict(data.dtypes)[k]}" for k in MESSAGE)
+    data = rows.filter(F.length("payload") > 0).withColumn("ts", F.col("event_start"))
+    place = [*KEY, "file", "pkt_no"]
+    streams = reassemble(data.filter("protocol = 6")).filter("segments > 1").select(*place, "members", F.lit("tcp").alias("kind"), "data", F.col("status").alias("reassembly"))
+    datagrams = reassemble_datagrams(data).filter("segments > 1").select(*place, "members", "kind", "data", F.lit("reassembled").alias("reassembly"))
+    joined = streams.union(datagrams)
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in place) + ", members array<struct<file:string,pkt_no:bigint>>, reassembly string, " + ", ".join(f"new_{k} {types[k]}" for k in MESSAGE)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [message(bytes(d), s, t, chosen) for d, s, t in zip(frame["data"], frame["src_port"], frame["dst_port"], strict=True)]
+            found = [message(bytes(d), s, t, chosen, k) for d, s, t, k in zip(frame["data"], frame["src_port"], frame["dst_port"], frame["kind"], strict=True)]
             new = pd.DataFrame([{f"new_{k}": v for k, v in x.items()} for x in found], columns=[f"new_{k}" for k in MESSAGE], index=frame.index)
-            yield pd.concat([frame.drop(columns="data"), new], axis=1)
+            yield pd.concat([frame.drop(columns=["data", "kind"]), new], axis=1)
 
     parsed = joined.mapInPandas(run, schema).filter("new_msg_type is not null")
-    whole = rows.join(parsed, [*KEY, "pkt_no"], "left")
+    # a row for every packet of a message; all but the first have nothing to put in place of their own
+    members = parsed.select("*", F.explode("members").alias("m")).withColumn("later", ~(F.col("m.file").eqNullSafe(F.col("file")) & (F.col("m.pkt_no") == F.col("pkt_no"))))
+    members = members.select(F.col("m.file").alias("file"), F.col("m.pkt_no").alias("pkt_no"), "later", "reassembly", *[f"new_{k}" for k in MESSAGE])
+    whole = rows.join(members, ["file", "pkt_no"], "left").filter("later is null or not later")
     own = F.col("reassembly").isNotNull()
     columns = [F.when(own, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in MESSAGE else F.col(c) for c in rows.columns]
     out = whole.select(*columns, F.coalesce("reassembly", F.lit("none")).alias("reassembly")).filter("msg_type is not null")

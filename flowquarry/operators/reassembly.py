@@ -1,26 +1,38 @@
-"""Reassembly of TLS handshakes that span TCP segments (T4, T7-T10; T5 and T6 are not built), as grouped state over a flow's segments.
+"""Reassembly (T4-T8, T10) as grouped state: TLS messages and SSH key exchanges over TCP segments, DTLS
+handshakes and QUIC CRYPTO data over datagrams.
 
-A flow's segments are bounded by what the operator keeps: 20 segments, 8192 bytes and 15 seconds
-from its start. Those limits belong to the operator's semantics; what lies beyond them is reported
-as truncated.
+A message is bounded by what the operator keeps: 20 segments, 8192 bytes and 15 seconds from its
+start. Those limits belong to the operator's semantics; what lies beyond them is reported as
+truncated. State ends with its message or its time; there is no table that could be full (T9).
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from flowquarry.parse import quic
 
 MAX_BYTES, MAX_SEGMENTS, MAX_SECONDS = 8192, 20, 15.0
 KEY = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
-SCHEMA = (
-    "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, pkt_no long, data binary, status string, out_of_order boolean, overlap boolean, missing boolean, segments int"
-)
+_KEY = "src_ip string, dst_ip string, src_port int, dst_port int, protocol int"
+_MEMBERS = "members array<struct<file:string,pkt_no:bigint>>"
+SCHEMA = f"{_KEY}, file string, pkt_no long, data binary, status string, out_of_order boolean, overlap boolean, missing boolean, segments int, {_MEMBERS}"
+FRAGMENTS = f"{_KEY}, file string, pkt_no long, ts double, kind string, discriminator binary, place long, total long, piece binary"
+MESSAGES = f"{_KEY}, file string, pkt_no long, kind string, data binary, segments int, {_MEMBERS}"
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.replace("<struct<file:string,pkt_no:bigint>>", "").split(", ")]
 
 
 def needed(data: bytes) -> int | None:
-    """Bytes of the whole message that data begin: TLS records up to the end of the handshake, else what there is."""
+    """Bytes of the whole message that data begin: of TLS the records up to the end of the handshake, of SSH
+    the key exchange with the version line before it; MAX_BYTES where its length is not known yet, None else."""
     if len(data) >= 9 and data[0] == 22 and data[1] == 3:
         size = int.from_bytes(data[6:9], "big") + 4
         record = struct.unpack(">H", data[3:5])[0]
@@ -28,74 +40,171 @@ def needed(data: bytes) -> int | None:
             return 5 + record
         records = -(-size // max(1, record))
         return size + 5 * records
+    start = data.find(b"\n") + 1 if data.startswith(b"SSH-") else 0
+    if data.startswith(b"SSH-") and len(data) < start + 4 or data.startswith(b"SSH-") and not start:
+        return MAX_BYTES
+    size = int.from_bytes(data[start : start + 4], "big")
+    if start or len(data) > 5 and data[5] == 20 and 16 < size <= 35000:
+        return start + 4 + size
     return None
 
 
 def join_segments(segments: list[tuple[int, bytes]], first: int, want: int) -> tuple[bytes, dict[str, bool]]:
     """The contiguous bytes from sequence number first; overlaps keep the bytes that came first."""
     flags = {"out_of_order": False, "overlap": False, "missing": False}
-    have: dict[int, int] = {}
-    top = 0
+    size = min(want, MAX_BYTES)
+    have, filled, top = bytearray(size), bytearray(size), 0
     for seq, data in segments:
         at = (seq - first) & 0xFFFFFFFF
         if at >= 1 << 31:
             at -= 1 << 32
-        if at > top:
-            flags["out_of_order"] = True
-        for i, b in enumerate(data):
-            p = at + i
-            if p < 0 or p >= min(want, MAX_BYTES):
-                continue
-            if p in have:
-                flags["overlap"] = True
-            else:
-                have[p] = b
+        flags["out_of_order"] |= at > top
         top = max(top, at + len(data))
-    out = bytearray()
-    while len(out) in have:
-        out.append(have[len(out)])
-    flags["missing"] = len(out) < len(have)
-    return bytes(out), flags
+        start, end = max(at, 0), min(at + len(data), size)
+        if start >= end:
+            continue
+        flags["overlap"] |= filled.find(1, start, end) >= 0
+        hole = filled.find(0, start, end)
+        while hole >= 0:
+            stop = filled.find(1, hole, end)
+            stop = end if stop < 0 else stop
+            have[hole:stop] = data[hole - at : stop - at]
+            filled[hole:stop] = b"\1" * (stop - hole)
+            hole = filled.find(0, stop, end)
+    whole = filled.find(0)
+    whole = size if whole < 0 else whole
+    flags["missing"] = filled.find(1, whole) >= 0
+    return bytes(have[:whole]), flags
 
 
 def reassemble(packets: DataFrame) -> DataFrame:
-    """Messages of packets (key, pkt_no, ts in seconds, seq, payload): the data, and whether they are whole.
+    """Messages of packets (key, pkt_no, ts in seconds, seq, payload, perhaps file): the data, and whether they are whole.
 
     status is none for a message in one packet, reassembled, truncated, or both where the limits cut
-    what several packets gave (T8).
+    what several packets gave (T8). file and pkt_no are those of the first packet, members has all.
     """
+    if "file" not in packets.columns:
+        packets = packets.withColumn("file", F.lit(None).cast("string"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["ts", "pkt_no"], kind="stable")
-        out, open_, start, first, want, no = [], [], 0.0, 0, 0, 0
+        out, open_, members, start, first, want = [], [], [], 0.0, 0, 0
         key = [frame[k].iloc[0] for k in KEY]
 
         def close() -> None:
             data, flags = join_segments(open_, first, want)
             several = len(open_) > 1
             status = ("reassembled" if several else "none") if len(data) >= want else ("both" if several else "truncated")
-            out.append((*key, no, data, status, *flags.values(), len(open_)))
+            out.append((*key, members[0]["file"], members[0]["pkt_no"], data, status, *flags.values(), len(open_), list(members)))
             open_.clear()
+            members.clear()
 
-        for pkt, ts, seq, data in zip(frame["pkt_no"], frame["ts"], frame["seq"], frame["payload"], strict=True):
+        for file, pkt, ts, seq, data in zip(*(frame[c] for c in ("file", "pkt_no", "ts", "seq", "payload")), strict=True):
             data = bytes(data) if data is not None else b""
             if not data:
                 continue
             if open_ and ts - start > MAX_SECONDS:
                 close()
-            if open_:
-                open_.append((int(seq), data))
+            open_.append((int(seq), data))
+            members.append({"file": file, "pkt_no": int(pkt)})
+            if len(open_) > 1:
                 whole, _ = join_segments(open_, first, want)
+                if want == MAX_BYTES:
+                    want = needed(whole) or MAX_BYTES
                 if len(whole) >= min(want, MAX_BYTES) or len(open_) == MAX_SEGMENTS:
                     close()
                 continue
             size = needed(data)
-            open_.append((int(seq), data))
-            start, first, want, no = ts, int(seq), size or len(data), pkt
+            start, first, want = ts, int(seq), size or len(data)
             if size is None or size <= len(data):
                 close()
         if open_:
             close()
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+        return pd.DataFrame(out, columns=_columns(SCHEMA))
+
+    return packets.select(*KEY, "file", "pkt_no", "ts", "seq", "payload").groupBy(*KEY).applyInPandas(run, SCHEMA)
+
 
-    return packets.select(*KEY, "pkt_no", "ts", "seq", "payload").groupBy(*KEY).applyInPandas(run, SCHEMA)
+def dtls_fragments(data: bytes) -> Iterator[tuple[bytes, int, int, bytes]]:
+    """(discriminator, offset, total, piece) of the handshake fragments in a datagram that are not whole messages.
+
+    The discriminator is the message's type and sequence number.
+    """
+    at = 0
+    while len(data) >= at + 25 and data[at] == 22 and data[at + 1] == 0xFE:
+        size = int.from_bytes(data[at + 11 : at + 13], "big")
+        head, body = data[at + 13 : at + 25], data[at + 25 : at + 13 + size]
+        total, place, n = (int.from_bytes(head[i:j], "big") for i, j in ((1, 4), (6, 9), (9, 12)))
+        # an encrypted record of a later epoch has no readable header
+        if data[at + 3 : at + 5] == b"\0\0" and n == len(body) and n < total:
+            yield head[:1] + head[4:6], place, total, body
+        at += 13 + size
+
+
+def quic_fragments(data: bytes) -> Iterator[tuple[bytes, int, int | None, bytes]]:
+    """(discriminator, offset, total, piece) of the CRYPTO frames in an Initial packet whose message is not whole in it.
+
+    The discriminator is the version and the connection identifier of the destination.
+    """
+    opened = quic.open_initial(data)
+    if opened is None:
+        return
+    version, plain = opened
+    stream = quic.crypto_stream(plain)
+    if len(stream) >= 4 and len(stream) >= 4 + int.from_bytes(stream[1:4], "big"):
+        return
+    name = version.to_bytes(4, "big") + data[6 : 6 + data[5]]
+    for place, piece in quic.crypto_frames(plain):
+        yield name, place, 4 + int.from_bytes(piece[1:4], "big") if place == 0 and len(piece) >= 4 else None, piece
+
+
+def reassemble_datagrams(packets: DataFrame) -> DataFrame:
+    """The whole messages that several UDP datagrams of packets (key, pkt_no, ts in seconds, payload, perhaps file) give.
+
+    kind is dtls, with data as one record with one fragment, or quic, with the version's four bytes
+    before the CRYPTO data. Messages that stay incomplete give no row. Only fragments are shuffled, by
+    flow, kind and discriminator.
+    """
+    if "file" not in packets.columns:
+        packets = packets.withColumn("file", F.lit(None).cast("string"))
+    likely = packets.filter("protocol = 17").filter(F.hex(F.substring("payload", 1, 2)).rlike("^(16FE|[C-F])"))
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for *place, data in frame.itertuples(index=False, name=None):
+                data = bytes(data)
+                kind, found = ("dtls", dtls_fragments(data)) if data[0] == 22 else ("quic", quic_fragments(data))
+                out.extend((*place, kind, *fragment) for fragment in found)
+            yield pd.DataFrame(out, columns=_columns(FRAGMENTS)).astype({"total": "Int64"})
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["ts", "pkt_no", "place"], kind="stable")
+        key, kind, name = [frame[k].iloc[0] for k in KEY], frame["kind"].iloc[0], bytes(frame["discriminator"].iloc[0])
+        out, parts, members, start, total = [], [], [], 0.0, None
+        for file, pkt, ts, place, size, piece in zip(*(frame[c] for c in ("file", "pkt_no", "ts", "place", "total", "piece")), strict=True):
+            if parts and ts - start > MAX_SECONDS:
+                parts, members, total = [], [], None
+            start = start if parts else ts
+            member = {"file": file, "pkt_no": int(pkt)}
+            if member not in members:
+                if len(members) == MAX_SEGMENTS:
+                    continue
+                members.append(member)
+            parts.append((int(place), bytes(piece)))
+            total = total if pd.isna(size) else int(size)
+            if total is None or total > MAX_BYTES:
+                continue
+            data, _ = join_segments(parts, 0, total)
+            if len(data) == total:
+                if kind == "dtls":
+                    head = name[:1] + total.to_bytes(3, "big") + name[1:] + bytes(3) + total.to_bytes(3, "big")
+                    data = b"\x16\xfe\xfd" + bytes(8) + (total + 12).to_bytes(2, "big") + head + data
+                else:
+                    data = name[:4] + data
+                out.append((*key, members[0]["file"], members[0]["pkt_no"], kind, data, len(members), members))
+                parts, members, total = [], [], None
+        return pd.DataFrame(out, columns=_columns(MESSAGES))
+
+    pieces = likely.select(*KEY, "file", "pkt_no", "ts", "payload").mapInPandas(cut, FRAGMENTS)
+    return pieces.groupBy(*KEY, "kind", "discriminator").applyInPandas(join, MESSAGES)

@@ -38,9 +38,17 @@ def tcp_first_data(packets: DataFrame, key: list[str] = FLOW_KEY, order: str = "
     return rows.filter(~F.col("syn") & (F.col("length") > 0)).withColumn("is_first", first).drop("__fq_last")
 
 
-def seen_before(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Rows with `seen_before`: an earlier row had the key."""
-    return rows.withColumn("seen_before", F.row_number().over(Window.partitionBy(key).orderBy(*order)) > 1)
+def seen_before(rows: DataFrame, key: str, order: list[str], out: str = "seen_before") -> DataFrame:
+    """Rows with a column out: whether an earlier row, by the columns of order, had the key.
+
+    The first place of every key is an aggregate, combined before the shuffle and joined back, so no
+    task holds all rows of a frequent key. Rows that tie for the first place are all first; null is a
+    key, and a null in order comes before all else.
+    """
+    place = F.struct(*order)
+    first = rows.groupBy(F.col(key).alias("__fq_key")).agg(F.min(place).alias("__fq_first"))
+    joined = rows.join(first, F.col(key).eqNullSafe(F.col("__fq_key")))
+    return joined.withColumn(out, place > F.col("__fq_first")).drop("__fq_key", "__fq_first")
 
 
 def direction(src_port: Column, dst_port: Column) -> Column:

@@ -67,8 +67,8 @@ def open_initial(data: bytes) -> tuple[int, bytes] | None:
     return (version, aes.counter(sealed, nonce)) if aes.tag(sealed, nonce, header) == tag else None
 
 
-def crypto_stream(frames: bytes) -> bytes:
-    """The contiguous bytes of the CRYPTO frames, in the order of their offsets."""
+def crypto_frames(frames: bytes) -> list[tuple[int, bytes]]:
+    """(offset, bytes) of the CRYPTO frames."""
     c, parts = Cursor(frames), []
     while c.left():
         kind = c.uint(1)
@@ -91,8 +91,13 @@ def crypto_stream(frames: bytes) -> bytes:
         if body is None:
             break
         parts.append((offset, body))
+    return parts
+
+
+def crypto_stream(frames: bytes) -> bytes:
+    """The contiguous bytes of the CRYPTO frames, in the order of their offsets."""
     out = b""
-    for offset, body in sorted(parts):
+    for offset, body in sorted(crypto_frames(frames)):
         if offset > len(out):
             break
         out += body[len(out) - offset :]
@@ -105,7 +110,11 @@ def parse_initial(data: bytes, fmt: int = 0) -> dict[str, Any] | None:
     if got is None:
         return None
     version, plain = got
-    stream = crypto_stream(plain)
+    return parse_stream(version, crypto_stream(plain), fmt)
+
+
+def parse_stream(version: int, stream: bytes, fmt: int = 0) -> dict[str, Any] | None:
+    """As parse_initial, of CRYPTO data already put together."""
     if len(stream) < 6 or stream[0] != 1:
         return {"msg_type": "quic_initial", "fields": {"version": f"{version:08x}"}, "fingerprint": None}
     hello = client_hello(Cursor(stream, 4, 4 + int.from_bytes(stream[1:4], "big")))

@@ -9,11 +9,12 @@ import pytest
 
 from flowquarry.engine import Config, Engine
 from flowquarry.operators import resources
-from flowquarry.parse import cbor, tls
+from flowquarry.parse import cbor, quic, tls, web
+from flowquarry.parse.aes import Aes
 from flowquarry.plans import queries as plans
 from flowquarry.plans.flow_view import flows
 from flowquarry.sources import archive
-from tests.test_parse import ETH, hello, ip, tcp
+from tests.test_parse import ETH, hello, ip, sized, tcp, udp
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,3 +92,57 @@ def test_formats_and_reassembly(spark):
     assert [r.pkt_no for r in Engine(spark, "select=tls").records(df).collect()] == [0]  # single packets show the whole one only
     with pytest.raises(ValueError, match="unknown fingerprint format"):
         Engine(spark, "format=tls/7").records(df)
+
+
+def _capture(spark, sent):
+    rows = [("f", n, 100 + n, 0, 1, data) for n, data in enumerate(sent)]
+    return spark.createDataFrame(rows, "file string, pkt_no long, ts_sec long, ts_nanos int, linktype int, data binary")
+
+
+def test_key_exchange_over_segments(spark):
+    """A version line and a key exchange in three segments of their own give one record; a line alone stays one."""
+    lists = b"".join(sized(4, x) for x in (b"curve25519-sha256", b"ssh-ed25519", b"aes256-ctr", b"aes256-ctr", b"hmac-sha2-256", b"hmac-sha2-256", b"none", b"none", b"", b""))
+    body = b"\x04\x14" + bytes(16) + lists + bytes(5) + bytes(4)
+    kex = len(body).to_bytes(4, "big") + body
+    line = b"SSH-2.0-client_1\r\n"
+    sent = [_segment(line, 1, 2000), _segment(kex[:50], 1 + len(line), 2000), _segment(kex[50:], 51 + len(line), 2000), _segment(line, 1, 2001)]
+    got = {r.pkt_no: r for r in Engine(spark, "select=ssh;reassembly").records(_capture(spark, sent)).collect()}
+    assert sorted(got) == [0, 3] and (got[0].reassembly, got[3].reassembly) == ("reassembled", "none")
+    assert got[0].fingerprint == web.parse_ssh(line + kex)["fingerprint"] and got[0].fingerprint.startswith(f"ssh/({line.strip().hex()})(")
+    assert got[3].msg_type == "ssh_init"
+
+
+def _dtls(kind, number, whole, start, end):
+    head = bytes([kind]) + len(whole).to_bytes(3, "big") + number.to_bytes(2, "big") + start.to_bytes(3, "big") + (end - start).to_bytes(3, "big")
+    return b"\x16\xfe\xfd" + bytes(8) + (12 + end - start).to_bytes(2, "big") + head + whole[start:end]
+
+
+def _initial(dcid, frames):
+    key, iv, hp = quic.client_keys(1, dcid)
+    frames += bytes(1162 - len(frames))
+    head = b"\xc1\0\0\0\1" + bytes([len(dcid)]) + dcid + b"\0\0" + (0x4000 | len(frames) + 18).to_bytes(2, "big")
+    number, nonce = b"\0\7", bytes(a ^ b for a, b in zip(iv, bytes(11) + b"\7"))
+    sealed = Aes(key).counter(frames, nonce)
+    sealed += Aes(key).tag(sealed, nonce, head + number)
+    mask = Aes(hp).encrypt((number + sealed)[4:20])
+    return bytes([head[0] ^ mask[0] & 15]) + head[1:] + bytes(a ^ b for a, b in zip(number, mask[1:])) + sealed
+
+
+def test_messages_over_datagrams(spark):
+    """DTLS fragments of one number and CRYPTO data of one connection meet; other numbers and connections do not."""
+    body = hello()[9:]
+    with_cookie = body[:35] + b"\0" + body[35:]  # no cookie, behind the empty session identifier
+    whole = tls.parse_dtls(_dtls(1, 0, with_cookie, 0, len(with_cookie)))
+    sent = [ETH + ip(udp(_dtls(1, n, with_cookie, a, b), src, 4433), 17) for src, n, a, b in ((5000, 0, 30, len(with_cookie)), (5000, 0, 0, 30), (5001, 0, 0, 30), (5001, 1, 30, len(with_cookie)))]
+    message = hello()[5:]
+
+    def crypto(start, end):
+        return b"\x06" + start.to_bytes(1, "big") + (0x4000 | end - start).to_bytes(2, "big") + message[start:end]
+
+    for src, first, second in ((6000, b"12345678", b"12345678"), (6001, b"12345678", b"87654321")):
+        sent += [ETH + ip(udp(_initial(first, crypto(40, len(message))), src, 443), 17), ETH + ip(udp(_initial(second, crypto(0, 40)), src, 443), 17)]
+    got = [r for r in Engine(spark, "select=dtls,quic;reassembly").records(_capture(spark, sent)).collect() if r.reassembly == "reassembled"]
+    by = {r.src_port: r for r in got}
+    assert sorted(by) == [5000, 6000] and len(got) == 2
+    assert by[5000].fingerprint == whole["fingerprint"] and by[5000].server_name == "a.example" and by[5000].pkt_no == 0
+    assert by[6000].fingerprint == quic.parse_stream(1, message)["fingerprint"] and by[6000].server_name == "a.example"
