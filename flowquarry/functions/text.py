@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -52,6 +53,40 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(at, F.lit(0).cast("long"), lambda s, i: s + bits(i))
 
 
+def _bytewise(a: Column, b: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """Hex digits of a function of the bytes of two hex strings, over their common length."""
+    n = F.floor(F.least(F.length(a), F.length(b)) / 2).cast("int")
+    at = F.when(n >= 1, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def digits(i: Column) -> Column:
+        x, y = (F.conv(s.substr(2 * i + 1, F.lit(2)), 16, 10).cast("int") for s in (a, b))
+        return F.lpad(F.lower(F.hex(of(x, y))), 2, "0")
+
+    return F.array_join(F.transform(at, digits), "")
+
+
+def bytes_xor(a: Column, b: Column) -> Column:
+    """Two hex strings, byte by byte; what one has beyond the other is left out."""
+    return _bytewise(a, b, lambda x, y: x.bitwiseXOR(y))
+
+
+def bytes_and(a: Column, b: Column) -> Column:
+    """As bytes_xor, the bits that both have."""
+    return _bytewise(a, b, lambda x, y: x.bitwiseAND(y))
+
+
+def hamming_weight(a: Column) -> Column:
+    """The bits that are set in a hex string."""
+    return hamming(a, F.repeat(F.lit("0"), F.length(a)))
+
+
+def matching_characters(a: Column, b: Column) -> Column:
+    """The characters that two strings share at the same place, and * elsewhere, over their common length."""
+    n = F.least(F.length(a), F.length(b))
+    at = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.transform(at, lambda i: F.when(a.substr(i, F.lit(1)) == b.substr(i, F.lit(1)), a.substr(i, F.lit(1))).otherwise(F.lit("*"))), "")
+
+
 def common_subsequence(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence, one row of the table at a time."""
     ys = F.when(F.length(b) > 0, F.split(b, "")).otherwise(F.array().cast("array<string>"))

@@ -62,12 +62,13 @@ def probabilities(scored: DataFrame, key: str = "event_id") -> DataFrame:
     return ranked.withColumn("p", F.col("e") / F.sum("e").over(w))
 
 
-def classify(scored: DataFrame, tags: list[str] = (), key: str = "event_id") -> DataFrame:
+def classify(scored: DataFrame, tags: list[str] = (), key: str = "event_id", carry: list[str] = ()) -> DataFrame:
     """One row per flow: process, score, p_malware, and p_<tag> of the winner's tags.
 
     scored may have boolean columns malware and one for each tag. If the winner is the generic dmz
     process, and malware labels exist, and the second is no malware, the second wins, and
-    probabilities other than p_malware are shares of what is left.
+    probabilities other than p_malware are shares of what is left. carry names columns of scored,
+    such as os_info (C14), of which the winner's values are kept.
     """
     ranked = probabilities(scored, key)
     bad = F.col("malware") if "malware" in scored.columns else F.lit(False)
@@ -77,8 +78,8 @@ def classify(scored: DataFrame, tags: list[str] = (), key: str = "event_id") ->
         F.sum(F.when(F.col("rank") != 1, F.col("e")).otherwise(0.0)).alias("rest"),
         F.sum(F.when(bad, F.col("e")).otherwise(0.0)).alias("bad"),
         F.max(bad).alias("any_bad"),
-        F.max(F.when(F.col("rank") == 1, F.struct("process", "e", bad.alias("malware"), *tags))).alias("top"),
-        F.max(F.when(F.col("rank") == 2, F.struct("process", "e", bad.alias("malware"), *tags))).alias("next"),
+        # one row has the rank; first takes columns that have no order, too
+        *[F.first(F.when(F.col("rank") == n, F.struct("process", "e", bad.alias("malware"), *tags, *carry)), ignorenulls=True).alias(name) for n, name in ((1, "top"), (2, "next"))],
         *[F.sum(F.when(F.col(t), F.col("e")).otherwise(0.0)).alias(f"sum_{t}") for t in tags],
         *[F.sum(F.when(F.col(t) & (F.col("rank") != 1), F.col("e")).otherwise(0.0)).alias(f"rest_{t}") for t in tags],
     )
@@ -92,6 +93,7 @@ def classify(scored: DataFrame, tags: list[str] = (), key: str = "event_id") ->
         win["malware"].alias("malware"),
         (F.col("bad") / F.col("sum")).alias("p_malware"),
     ]
+    out += [win[c].alias(c) for c in carry]
     for t in tags:
         mass = F.when(swap, F.col(f"rest_{t}")).otherwise(F.col(f"sum_{t}"))
         out.append(F.when(win[t], F.when(total > 0, mass / total).otherwise(mass)).alias(f"p_{t}"))

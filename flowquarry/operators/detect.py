@@ -1,4 +1,4 @@
-"""Attribute detectors and assessments."""
+"""Attribute detectors and assessments."""
 
 from __future__ import annotations
 
@@ -14,6 +14,13 @@ CNSA_SUITES = ("1302",)
 CNSA_GROUPS = ("0200", "11ed", "0202")
 TLS13_SUITES = ("1301", "1302", "1303", "1304", "1305")
 
+#: Attributes that detectors set, then those that the classifier sets.
+ATTRIBUTES = (
+    "residential_proxy", "exposed_credentials_plaintext", "exposed_credentials_token", "exposed_credentials_derived", "cnsa_2_0_non_conformant",
+    "nist_sp_800_52_2_non_conformant", "encrypted_dns", "encrypted_channel", "domain_faking", "faketls",
+)
+MAX_ATTRIBUTES = 16
+
 
 def encrypted_dns(flows: DataFrame, watchlist: DataFrame) -> DataFrame:
     """A1: TLS and QUIC flows whose name or address is on the list."""
@@ -97,6 +104,22 @@ def weak_certificate(key_alg: Column, key_bits: Column, exponent_bits: Column, c
     return ~strong_key | sig_alg.rlike("(?i)md[245]|sha-?1(?![0-9])") | ~valid | ~conformant | self_issued | ~trusted
 
 
+def attribute_names(*more: str) -> tuple[str, ...]:
+    """The names of the attributes in their order, with further ones of a resource file."""
+    names = ATTRIBUTES + tuple(n for n in dict.fromkeys(more) if n not in ATTRIBUTES)
+    if len(names) > MAX_ATTRIBUTES:
+        raise ValueError(f"more than {MAX_ATTRIBUTES} attributes")
+    return names
+
+
+def attributes(found: dict[str, Column], names: tuple[str, ...] = ATTRIBUTES) -> Column:
+    """The names of the attributes that hold, in the order of the registry; null counts as false."""
+    if unknown := set(found) - set(names):
+        raise ValueError(f"unknown attributes: {', '.join(sorted(unknown))}")
+    held = [F.when(found[n], F.lit(n)) for n in names if n in found]
+    return F.array_compact(F.array(*held)) if held else F.array().cast("array<string>")
+
+
 def has_analysis(analysis: Column, *attributes: Column) -> Column:
     """A10: an analysis is written if there is one or any attribute holds."""
     out = analysis.isNotNull()

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowquarry.plans import detail_queries  # noqa: F401  registers its queries
 from flowquarry.plans import queries as plans
 
 
