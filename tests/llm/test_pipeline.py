@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+from pathlib import Path
 
 import public_tokenizers
 import xxhash
@@ -10,6 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from flowquarry.llm import quality_llr
+from flowquarry.llm.common import shared_dir
 from tests.llm.conftest import DOCS, corpus
 from tests.llm.test_lines_chat import brute_lines
 from tests.llm.test_near import brute_components, sets_of
@@ -103,3 +105,24 @@ def test_stages_keep_the_columns(spark, docs, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_empty_tables_and_odd_rows(spark, tmp_path):
+    """No documents, no labels, or documents of nothing but nulls and blanks give results, not errors."""
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    odd = [(1, None, None, None, None, None, None), (2, "", "en", "s", 0, 1, "x"), (3, " \n", "en", "s", 0, 1, "x"), (None, None, None, None, None, None, None)]
+    for name, rows in (("empty", []), ("odd", odd)):
+        spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        none.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert got.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and got.count() == 0, name
+
+
+def test_one_table_between_stages_remains(spark, tmp_path):
+    spark.createDataFrame(corpus(11, 150), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, 1, 0) for n in range(150) if n % 3], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "flowquarry"
+    before = set(folder.glob("pipeline-*")) if folder.exists() else set()
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    left = set(folder.glob("pipeline-*")) - before
+    assert [p.name.rsplit("-", 1)[0] for p in left] == ["pipeline-mix_sources"] and got.count() > 0
