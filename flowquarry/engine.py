@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowquarry.operators import classify, detect, lookup, packets, resources, stats
+from flowquarry.sources.archive import read_archive
 from flowquarry.sources.pcap import read_pcap
 
 
@@ -50,15 +51,17 @@ class Engine:
     def __init__(self, spark: SparkSession, config: Config | str = "", tables: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.config = Config.parse(config) if isinstance(config, str) else config
-        self.tables = tables or {}
+        self.tables = dict(tables or {})
+        if self.config.resources:
+            self.tables = read_archive(spark, self.config.resources) | self.tables
 
     def packets(self, path: str) -> DataFrame:
         return read_pcap(self.spark, path)
 
     def records(self, rows: DataFrame) -> DataFrame:
-        """Parsed records of packets; with `reassembly`, of messages over several TCP segments too."""
+        """Parsed records of packets; with `reassembly`, of messages over several segments or datagrams too."""
         parse = packets.parse_reassembled if self.config.reassembly else packets.parse_packets
-        return parse(rows, self.config.select, self.config.format)
+        return parse(rows, self.config.select, self.config.format, dns_json=self.config.dns_json, certs_json=self.config.certs_json)
 
     def lines(self, records: DataFrame) -> DataFrame:
         return records.select(packets.record_json(self.config.metadata).alias("value"))
@@ -71,14 +74,15 @@ class Engine:
     def analyze(self, flows: DataFrame, weights: dict[str, float] | None = None, key: str = "event_id") -> DataFrame:
         """flows with the status of their fingerprint, and process, score and malware probability where a model has it.
 
-        Columns of those names that flows come with are replaced.
+        Models with os_info add the winner's. Columns of those names that flows come with are replaced.
         """
         rows = lookup.with_asn(flows, self.tables["asn"]) if "asn" in self.tables else flows.withColumn("asn", F.lit(0))
         processes = self.tables["processes"]
         prevalent = self.tables.get("prevalence", processes.select("fp").limit(0))
         rows = lookup.with_status(rows, processes, prevalent, ["tls", "http", "quic"])
         scored = classify.scores(rows, processes, self.tables["features"], weights or resources.WEIGHTS, self.config.minimize_ram, key)
-        return rows.drop("asn", "process", "score", "malware", "p_malware").join(classify.classify(scored, key=key), key, "left")
+        carry = [c for c in ("os_info",) if c in processes.columns]
+        return rows.drop("asn", "process", "score", "malware", "p_malware", *carry).join(classify.classify(scored, key=key, carry=carry), key, "left")
 
     def detailed(self, flows: DataFrame, key: str = "event_id") -> DataFrame:
         """Every process of a flow's fingerprint with its probability."""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.operators.reassembly import KEY, reassemble, reassemble_datagrams
 from flowquarry.parse.packet import MESSAGE, NAMES, RECORD, formats, message, record
+from flowquarry.parse.x509 import parse_certificate
 
 #: Selector names and the message types that they stand for.
 SELECTORS = {
@@ -36,11 +40,25 @@ def selected(select: str | None) -> list[str] | None:
     return sorted({t for n in names for t in SELECTORS[n]})
 
 
-def parse_packets(packets: DataFrame, select: str | None = None, fmt: str = "", every: bool = False) -> DataFrame:
+def _shown(row: dict[str, Any], dns_json: bool, certs_json: bool) -> dict[str, Any]:
+    """A record whose DNS messages are base64 unless dns_json, and whose certificates are decoded if certs_json."""
+    if not dns_json and row["msg_type"] in SELECTORS["dns"] + SELECTORS["mdns"] + SELECTORS["nbns"] and row.get("payload"):
+        return row | {"fields": json.dumps({"base64": base64.b64encode(row["payload"]).decode()})}
+    if certs_json and row["fields"] and '"certs"' in row["fields"]:
+        fields = json.loads(row["fields"])
+        # what is no certificate stays as it is
+        fields["certs"] = [{"cert": got} if (got := parse_certificate(base64.b64decode(c["base64"]))) else c for c in fields["certs"]]
+        return row | {"fields": json.dumps(fields, sort_keys=True, default=str)}
+    return row
+
+
+def parse_packets(packets: DataFrame, select: str | None = None, fmt: str = "", every: bool = False, dns_json: bool = True, certs_json: bool = False) -> DataFrame:
     """One record for each packet (file, pkt_no, ts_sec, ts_nanos, linktype, data) that has one of the types.
 
     The selection runs inside the parsing stage, so other packets never leave it. Narrow: no shuffle.
     fmt chooses fingerprint formats (FP22); every keeps packets above IP without a message too.
+    Without dns_json the fields of a DNS message are its bytes in base64; with certs_json those of
+    certificates are decoded.
     """
     wanted, chosen = selected(select), formats(fmt)
 
@@ -50,20 +68,20 @@ def parse_packets(packets: DataFrame, select: str | None = None, fmt: str = "",
             for file, no, sec, nanos, linktype, data in zip(*(frame[c] for c in ("file", "pkt_no", "ts_sec", "ts_nanos", "linktype", "data")), strict=True):
                 row = record(bytes(data), int(linktype), chosen) if data is not None else None
                 if every and row is not None or row is not None and row["msg_type"] is not None if wanted is None else row is not None and row["msg_type"] in wanted:
-                    rows.append({"file": file, "pkt_no": no, "event_start": sec + round(nanos / 1000) / 1e6, **row})
+                    rows.append({"file": file, "pkt_no": no, "event_start": sec + round(nanos / 1000) / 1e6, **_shown(row, dns_json, certs_json)})
             out = pd.DataFrame(rows, columns=["file", "pkt_no", "event_start", *NAMES])
             yield out.astype({c: "Int64" for c in ("src_port", "dst_port", "protocol", "ip_version", "ttl", "ip_id", "seq", "flags")})
 
     return packets.select("file", "pkt_no", "ts_sec", "ts_nanos", "linktype", "data").mapInPandas(run, f"file string, pkt_no long, event_start double, {RECORD}")
 
 
-def parse_reassembled(packets: DataFrame, select: str | None = None, fmt: str = "") -> DataFrame:
+def parse_reassembled(packets: DataFrame, select: str | None = None, fmt: str = "", dns_json: bool = True, certs_json: bool = False) -> DataFrame:
     """The records of parse_packets, with `reassembly`, where messages over several segments or datagrams are put together first.
 
     The record of such a message stands at its first packet, and its other packets have none. One
     shuffle of the TCP payloads, by flow, and one of DTLS and QUIC fragments; other packets pass by.
     """
-    rows, chosen = parse_packets(packets, "all", fmt, every=True), formats(fmt)
+    rows, chosen = parse_packets(packets, "all", fmt, True, dns_json, certs_json), formats(fmt)
     data = rows.filter(F.length("payload") > 0).withColumn("ts", F.col("event_start"))
     place = [*KEY, "file", "pkt_no"]
     streams = reassemble(data.filter("protocol = 6")).filter("segments > 1").select(*place, "members", F.lit("tcp").alias("kind"), "data", F.col("status").alias("reassembly"))
@@ -74,7 +92,7 @@ def parse_reassembled(packets: DataFrame, select: str | None = None, fmt: str =
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [message(bytes(d), s, t, chosen, k) for d, s, t, k in zip(frame["data"], frame["src_port"], frame["dst_port"], frame["kind"], strict=True)]
+            found = [_shown(message(bytes(d), s, t, chosen, k), dns_json, certs_json) for d, s, t, k in zip(frame["data"], frame["src_port"], frame["dst_port"], frame["kind"], strict=True)]
             new = pd.DataFrame([{f"new_{k}": v for k, v in x.items()} for x in found], columns=[f"new_{k}" for k in MESSAGE], index=frame.index)
             yield pd.concat([frame.drop(columns=["data", "kind"]), new], axis=1)
 

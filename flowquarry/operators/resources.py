@@ -11,6 +11,9 @@ from flowquarry.functions.names import normalize_server_name, registered_domain
 #: Default feature weights.
 WEIGHTS = {"as": 0.13924, "domain": 0.15590, "port": 0.00528, "ip": 0.56735, "sni": 0.96941, "ua": 1.0}
 
+#: The names of the features' counts in a resource file.
+CLASSES = {"domain": "classes_hostname_domains", "sni": "classes_hostname_sni", "port": "classes_port_port", "as": "classes_ip_as", "ip": "classes_ip_ip", "ua": "classes_user_agent"}
+
 
 def feature_values(flows: DataFrame, *keep: str) -> DataFrame:
     """Long form: the columns keep, and (feature, value) for each of the six features of a flow with `asn`."""
@@ -58,15 +61,14 @@ def version_ok(text: str) -> bool:
 
 def fp_db_json(processes: DataFrame, features: DataFrame) -> DataFrame:
     """One JSON line for each fingerprint, with process_info and all value counts, the ASN's too."""
-    names = {"domain": "classes_hostname_domains", "sni": "classes_hostname_sni", "port": "classes_port_port", "as": "classes_ip_as", "ip": "classes_ip_ip", "ua": "classes_user_agent"}
     maps = features.groupBy("fp", "process").agg(
         *[
             F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("feature") == k, F.struct("value", "count"))))).alias(v)
-            for k, v in names.items()
+            for k, v in CLASSES.items()
         ]
     )
     rows = processes.join(maps, ["fp", "process"]).groupBy("fp").agg(
         F.first("total").alias("total_count"),
-        F.collect_list(F.struct("process", "count", *names.values())).alias("process_info"),
+        F.collect_list(F.struct("process", "count", *CLASSES.values())).alias("process_info"),
     )
     return rows.select(F.to_json(F.struct(F.col("fp").alias("str_repr"), F.substring_index("fp", "/", 1).alias("fp_type"), "total_count", "process_info")).alias("value"))

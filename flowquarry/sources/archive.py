@@ -7,10 +7,13 @@ import io
 import json
 import tarfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.operators.resources import version_ok
+from flowquarry.functions.ip import normalize_ip
+from flowquarry.functions.names import normalize_server_name
+from flowquarry.operators.lookup import fingerprint_aliases
+from flowquarry.operators.resources import CLASSES, version_ok
 from flowquarry.parse.aes import Aes
 
 #: Members of an archive and the tables that they become.
@@ -65,6 +68,34 @@ def tables(spark: SparkSession, lines: dict[str, list[str]]) -> dict[str, DataFr
     return out
 
 
+def read_archive(spark: SparkSession, path: str, key: bytes | None = None) -> dict[str, DataFrame]:
+    """The tables of an archive on any file system that Spark reads, with processes and features beside the models."""
+    data = spark.read.format("binaryFile").load(path).select("content").first()
+    if data is None:
+        raise FileNotFoundError(path)
+    out = tables(spark, archive_lines(bytes(data[0]), key))
+    return out | dict(zip(("processes", "features"), model_tables(out["models"]), strict=True))
+
+
+def model_tables(models: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classifier's processes and features of an archive's models, under every name of a fingerprint.
+
+    Counts of values that are equal once normalised are added up (G9).
+    """
+    named = fingerprint_aliases(models).join(models, "model").select("fp", F.col("total_count").alias("total"), F.posexplode("process_info").alias("proc_idx", "p"))
+    processes = named.select("fp", "p.process", "proc_idx", "p.count", "total", F.coalesce("p.malware", F.lit(False)).alias("malware"), "p.os_info")
+
+    def counts(feature: str, column: str) -> Column:
+        entries = F.map_entries(F.coalesce(f"p.{column}", F.create_map().cast("map<string,long>")))
+        return F.transform(entries, lambda e: F.struct(F.lit(feature).alias("feature"), e["key"].alias("value"), e["value"].alias("count")))
+
+    values = [counts(feature, column) for feature, column in CLASSES.items()]
+    rows = named.select("fp", "p.process", F.explode(F.concat(*values)).alias("v")).select("fp", "process", "v.*")
+    value = F.when(F.col("feature") == "sni", normalize_server_name(F.col("value"), detail=True)).when(F.col("feature") == "ip", normalize_ip(F.col("value"))).otherwise(F.col("value"))
+    features = rows.withColumn("value", value).groupBy("fp", "process", "feature", "value").agg(F.sum("count").alias("count"))
+    return processes, features
+
+
 def watchlist(rows: DataFrame) -> DataFrame:
     """(kind, value): addresses and names, without comments."""
     value = F.trim("value")

@@ -146,3 +146,37 @@ def test_messages_over_datagrams(spark):
     assert sorted(by) == [5000, 6000] and len(got) == 2
     assert by[5000].fingerprint == whole["fingerprint"] and by[5000].server_name == "a.example" and by[5000].pkt_no == 0
     assert by[6000].fingerprint == quic.parse_stream(1, message)["fingerprint"] and by[6000].server_name == "a.example"
+
+
+def test_resources_of_the_configuration(spark, tmp_path):
+    """An archive that the configuration names gives the model; a process's systems go with it."""
+    process = {"process": "p", "count": 6, "malware": False, "os_info": {"cpe:/o:x": 5}, "classes_hostname_sni": {"a.example": 3, "b": 1, "c": 2}, "classes_port_port": {"443": 6}}
+    other = {"process": "q", "count": 4, "malware": True, "os_info": {"cpe:/o:y": 4}, "classes_hostname_sni": {"z.example": 4}}
+    db = {"str_repr": "tls/(0303)()", "str_repr_array": ["tls/(0301)()"], "total_count": 10, "process_info": [process, other]}
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        for name, text in {"VERSION": "1;full\n", "fingerprint_db.json": json.dumps(db) + "\n", "pyasn.db": "8.0.0.0/8\t64500\n"}.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            tar.addfile(info, io.BytesIO(text.encode()))
+    (tmp_path / "r.tgz").write_bytes(out.getvalue())
+    engine = Engine(spark, f"resources={tmp_path}/r.tgz")
+    counts = {(r.fp, r.feature, r.value): r["count"] for r in engine.tables["features"].filter("process = 'p'").collect()}
+    assert counts["tls/(0301)()", "sni", "unqualified.alt"] == 3 and counts["tls/(0303)()", "sni", "a.example"] == 3
+    rows = [(1, "tls/(0303)()", "a.example"), (2, "tls/(0301)()", "z.example"), (3, "tls/(0000)()", "a.example")]
+    df = spark.createDataFrame([(*r, "8.8.8.8", 443, None) for r in rows], "event_id long, fp string, sni string, dst_ip string, dst_port int, ua string")
+    got = {r.event_id: r for r in engine.analyze(df).collect()}
+    assert (got[1].process, got[1].os_info, got[1].malware) == ("p", {"cpe:/o:x": 5}, False)
+    assert (got[2].process, got[2].os_info, got[2].malware, got[3].process, got[3].status) == ("q", {"cpe:/o:y": 4}, True, None, "randomized")
+
+
+def test_dns_and_certificates_in_records(spark):
+    """DNS is base64 unless dns_json; what is no certificate stays base64 with certs_json."""
+    query = bytes.fromhex("0001010000010000000000000161076578616d706c650000010001")
+    certificate = b"\x0b" + sized(3, sized(3, sized(3, b"\x30\x03\x02\x01\x01")))
+    sent = [ETH + ip(udp(query), 17), _segment(b"\x16\x03\x03" + sized(2, certificate), 1)]
+    df = _capture(spark, sent)
+    plain = {r.pkt_no: json.loads(r.fields) for r in Engine(spark, "select=dns,tls").records(df).collect()}
+    shown = {r.pkt_no: json.loads(r.fields) for r in Engine(spark, "select=dns,tls;dns-json;certs-json").records(df).collect()}
+    assert list(plain[0]) == ["base64"] and shown[0]["question"][0]["name"] == "a.example."
+    assert plain[1]["certs"] == shown[1]["certs"] == [{"base64": "MAMCAQE="}]
