@@ -76,6 +76,12 @@ def test_ssh_dhcp_stun_credentials():
     assert others.parse_ftp(b"PASS x\r\n")["exposed"] and others.parse_imap(b"a LOGIN u p\r\n")["exposed"] and others.parse_redis(b"*2\r\n$4\r\nAUTH\r\n$1\r\nx\r\n")["exposed"]
     snmp = b"\x30\x26\x02\x01\x01\x04\x06public\xa0\x19\x02\x01\x01\x02\x01\0\x02\x01\0\x30\x0e\x30\x0c\x06\x08\x2b\x06\x01\x02\x01\x01\x01\0\x05\0"
     assert others.parse_snmp(snmp)["fields"]["oids"] == ["1.3.6.1.2.1.1.1.0"]
+    binding = b"\x30\x0f\x06\x03\x2b\x06\x01\x04\x08\x06\x04\x2b\x06\x01\x02\x01\x01"  # a string that looks like an identifier
+    second = b"\x30\x09\x06\x03\x88\x37\x03\x06\x02\x2a\x03"  # a name under 2.999, and a value that is an identifier
+    body = b"\x02\x01\x01\x02\x01\0\x02\x01\0\x30" + sized(1, binding + second)
+    pdu = b"\xa2" + sized(1, body)
+    reply = b"\x30" + sized(1, b"\x02\x01\x01\x04\x06public" + pdu)
+    assert others.parse_snmp(reply)["fields"]["oids"] == ["1.3.6.1", "2.999.3", "1.2.3"]
 
 
 def test_odd_bytes_never_raise():
