@@ -128,3 +128,21 @@ def test_link_types():
     body = ip(tcp(b"", flags=2), 6)
     for linktype, frame in ((link.RAW, body), (link.NULL, b"\2\0\0\0" + body), (link.PPP, b"\xff\x03\0\x21" + body), (link.SLL, bytes(14) + b"\x08\0" + body), (link.SLL2, b"\x08\0" + bytes(18) + body), (link.ETHERNET, b"\0" * 12 + b"\x81\0\0\1\x08\0" + body)):
         assert packet.parse_packet(frame, linktype)["msg_type"] == "tcp_syn"
+
+
+def test_kerberos_request():
+    """A request shows its names, realm and types; one that is cut inside the body keeps its kind."""
+
+    def tlv(tag, *parts):
+        return bytes([tag]) + sized(1, b"".join(parts))
+
+    def name(kind, *names):
+        return tlv(0x30, tlv(0xA0, tlv(2, bytes([kind]))), tlv(0xA1, tlv(0x30, *(tlv(0x1B, n) for n in names))))
+
+    body = tlv(0x30, tlv(0xA1, name(1, b"user")), tlv(0xA2, tlv(0x1B, b"EXAMPLE")), tlv(0xA3, name(2, b"krbtgt", b"EXAMPLE")), tlv(0xA7, tlv(2, b"\1\0")), tlv(0xA8, tlv(0x30, tlv(2, b"\x12"), tlv(2, b"\x80"))))
+    request = tlv(0x6A, tlv(0x30, tlv(0xA1, tlv(2, b"\5")), tlv(0xA2, tlv(2, b"\x0a")), tlv(0xA4, body)))
+    got = others.parse_kerberos(request)["fields"]
+    assert got["msg_type"] == "as_req" and got["body"] == {
+        "cname": {"type": 1, "names": ["user"]}, "realm": "EXAMPLE", "sname": {"type": 2, "names": ["krbtgt", "EXAMPLE"]}, "nonce": 256, "etype": [18, -128],
+    }
+    assert others.parse_kerberos(tlv(0x6A, b"\x30\x05\xa4\x03\x30\x01"))["fields"] == {"msg_type": "as_req"}
