@@ -3,7 +3,9 @@
 Every task multiplies its moduli into a product tree and hands on the product. Each product is met
 by each task's moduli, block against block, so no number is larger than a block's product. A modulus
 that shares a factor with the product of a block is then tested against the moduli of that block
-alone. What is shuffled grows with moduli times blocks, not with pairs of moduli.
+alone: numbers of a machine word all at once, longer ones down the block's product tree, where only
+nodes with a shared factor are opened. Two blocks meet once, for both orders of their pairs, in a
+partition of their own. What is shuffled grows with moduli times blocks, not with pairs of moduli.
 """
 
 from __future__ import annotations
@@ -11,13 +13,18 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "line long, other long, factor string"
 #: Moduli of a block: one of 2048 bits is 512 digits, so a block's row is some 32 MB.
 BLOCK = 65_536
+#: Most partitions for the pairs of blocks, and pairs of numbers that are tested at once.
+PARTITIONS, CELLS = 1024, 1 << 18
+_ROWS = "array<struct<line:bigint,hex:string>>"
 
 
 def read_moduli(lines: DataFrame, number: str = "line", value: str = "hex") -> DataFrame:
@@ -58,6 +65,40 @@ def block_count(moduli: DataFrame) -> int:
     return max(16, -(-moduli.count() // BLOCK))
 
 
+def _words(mine: list[tuple[int, int]], others: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """(lines, other lines, factors) of the pairs of (line, number) with a common factor, for numbers of 63 bits."""
+    if not mine or not others:
+        return
+    (line, n), (other, m) = (np.array(x, dtype=np.int64).T for x in (mine, others))
+    step = max(1, CELLS // len(m))
+    for at in range(0, len(n), step):
+        g = np.gcd(n[at : at + step, None], m[None, :])
+        i, j = np.nonzero(g > 1)
+        found = pa.array(g[i, j]).dictionary_encode()
+        factors = pa.array([format(x, "x") for x in found.dictionary.to_pylist()], pa.string())
+        yield line[at + i], other[j], factors.take(found.indices)
+
+
+def _descend(mine: list[tuple[int, int]], others: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """The same for numbers of any length: below a node go only those that share a factor with its product, as that factor."""
+    if not mine or not others:
+        return
+    tree, out = _tree([m for _, m in others]), []
+    todo = [(len(tree) - 1, 0, mine)]
+    while todo:
+        level, at, hits = todo.pop()
+        rests = _remainders(tree[level][at], _tree([n for _, n in hits]))
+        hits = [(line, g) for (line, n), rest in zip(hits, rests, strict=True) if (g := math.gcd(rest, n)) > 1]
+        if hits and level:
+            todo.extend((level - 1, k, hits) for k in (2 * at, 2 * at + 1) if k < len(tree[level - 1]))
+        elif hits:
+            out.extend((line, others[at][0], format(g, "x")) for line, g in hits)
+        if out and (not todo or len(out) >= CELLS >> 4):
+            line, other, factor = zip(*out, strict=True)
+            yield np.array(line, dtype=np.int64), np.array(other, dtype=np.int64), pa.array(factor, pa.string())
+            out = []
+
+
 def shared_factors(moduli: DataFrame, blocks: int | None = None) -> DataFrame:
     """(line, other, factor) for every ordered pair of distinct moduli with a common factor over 1.
 
@@ -73,32 +114,44 @@ def shared_factors(moduli: DataFrame, blocks: int | None = None) -> DataFrame:
             yield pd.DataFrame(out, columns=["block", "product"])
 
     products = grouped.mapInPandas(multiply, "block int, product string")
-    # block against block: a row for each pair of blocks, blocks squared in all
-    others = grouped.select(F.col("block").alias("other_block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("rows"))
-    met = others.join(products, "block")
+    # block against block: a row for each pair of blocks, in one order
+    mine = grouped.select(F.col("block").alias("own_block"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("block"), F.col("rows"))
+    met = mine.join(products, "block")
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for block, mine, rows, product in zip(frame["block"], frame["other_block"], frame["rows"], frame["product"], strict=True):
+            for block, own_block, rows, product in zip(frame["block"], frame["own_block"], frame["rows"], frame["product"], strict=True):
                 numbers = [int(r["hex"], 16) for r in rows]
-                big = int(product, 16)
+                big, hits = int(product, 16), []
                 for r, n, rest in zip(rows, numbers, _remainders(big, _tree(numbers)), strict=True):
-                    g = math.gcd(big // n, n) if mine == block else math.gcd(rest, n)
-                    if g > 1:
-                        out.append((int(r["line"]), r["hex"], int(block)))
-            yield pd.DataFrame(out, columns=["line", "hex", "block"])
-
-    suspects = met.mapInPandas(probe, "line long, hex string, block int")
-    pairs = suspects.join(own.select("block", F.col("line").alias("other"), F.col("hex").alias("other_hex")), "block").filter("line <> other")
-
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            g = [math.gcd(int(a, 16), int(b, 16)) for a, b in zip(frame["hex"], frame["other_hex"], strict=True)]
-            frame = frame.assign(factor=[format(x, "x") for x in g])
-            yield frame[[x > 1 for x in g]][["line", "other", "factor"]]
-
-    return pairs.mapInPandas(verify, SCHEMA)
+                    if (math.gcd(big // n, n) if own_block == block else math.gcd(rest, n)) > 1:
+                        hits.append({"line": int(r["line"]), "hex": r["hex"]})
+                if hits:
+                    out.append((int(own_block), int(block), hits))
+            yield pd.DataFrame(out, columns=["own_block", "block", "hits"])
+
+    suspects = met.mapInPandas(probe, f"own_block int, block int, hits {_ROWS}")
+    # blocks that meet themselves, half the work, come last
+    apart = F.col("block") - F.col("own_block")
+    place = F.when(apart == 0, F.lit(blocks * (blocks - 1) // 2) + F.col("block")).otherwise((F.col("block") * (F.col("block") - 1) / 2).cast("long") + F.col("own_block"))
+    size = min(PARTITIONS, blocks * (blocks + 1) // 2)
+    pairs = suspects.join(grouped, "block").repartitionById(size, F.pmod(place, F.lit(size)).cast("int")).select("own_block", "block", "hits", "rows")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own_block, block, *sides in zip(*(batch.column(k) for k in range(4)), strict=True):
+                a, b = ([(r["line"], int(r["hex"], 16)) for r in side.as_py()] for side in sides)
+                (a_word, a_long), (b_word, b_long) = (([x for x in side if x[1] >> 63 == 0], [x for x in side if x[1] >> 63]) for side in (a, b))
+                for found in (_words(a_word, b_word), _descend(a, b_long), _descend(a_long, b_word)):
+                    for line, other, factor in found:
+                        # within a block a pair is met in both orders
+                        keep = line < other if own_block == block else line != other
+                        line, other, factor = pa.array(line[keep]), pa.array(other[keep]), factor.filter(pa.array(keep))
+                        for lines in ((line, other), (other, line)):
+                            yield pa.RecordBatch.from_arrays([*lines, factor], ["line", "other", "factor"])
+
+    return pairs.mapInArrow(verify, SCHEMA)
 
 
 def weak_moduli(moduli: DataFrame, blocks: int | None = None) -> DataFrame:

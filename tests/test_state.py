@@ -142,3 +142,17 @@ def test_batch_gcd_takes_every_supplier(spark, tmp_path):
     want = {(a, b, format(math.gcd(m, n), "x")) for m, a in line.items() for n, b in line.items() if a != b and math.gcd(m, n) > 1}
     got = [tuple(r) for r in plans.QUERIES["batch_gcd"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and max(want)[0] > 300
+
+
+def test_gcd_block_pairs_have_tasks_of_their_own(spark):
+    """Numbers of a word, at its border and longer ones, against brute force; no task has all pairs."""
+    from flowquarry.operators import gcd
+
+    primes = [3, 5, 10007, (1 << 31) - 1, (1 << 61) - 1, (1 << 89) - 1, (1 << 107) - 1]
+    numbers = sorted({p * q for p in primes for q in primes} | {1, 7, (1 << 63) - 1, 1 << 63, 3 << 63, 7 << 200, *range(2001, 2101, 2)})
+    df = spark.createDataFrame([(i, format(n, "x")) for i, n in enumerate(numbers)], "line long, hex string")
+    got = gcd.shared_factors(gcd.read_moduli(df), 4).withColumn("task", F.spark_partition_id()).collect()
+    want = {(a, b, format(math.gcd(m, n), "x")) for a, m in enumerate(numbers) for b, n in enumerate(numbers) if a != b and math.gcd(m, n) > 1}
+    assert len(got) == len(want) and {tuple(r)[:3] for r in got} == want
+    tasks = [sum(r.task == t for r in got) for t in {r.task for r in got}]
+    assert len(tasks) == 10 and max(tasks) < len(got) / 4
