@@ -156,3 +156,23 @@ def test_gcd_block_pairs_have_tasks_of_their_own(spark):
     assert len(got) == len(want) and {tuple(r)[:3] for r in got} == want
     tasks = [sum(r.task == t for r in got) for t in {r.task for r in got}]
     assert len(tasks) == 10 and max(tasks) < len(got) / 4
+
+
+def test_messages_of_packets_without_a_file_in_one_pass(spark):
+    """Packets are read and parsed once; a packet without a file name is part of its message too."""
+    from flowquarry.operators.packets import parse_reassembled
+
+    data = hello([(21, bytes(900))])
+
+    def packet(port, seq, payload):
+        tcp = port.to_bytes(2, "big") + bytes([1, 187]) + seq.to_bytes(4, "big") + bytes(4) + b"\x50\x18" + bytes(6) + payload
+        return bytes(12) + b"\x08\0\x45\0" + (20 + len(tcp)).to_bytes(2, "big") + bytes(4) + b"\x40\x06\0\0" + bytes([10, 0, 0, 1, 10, 0, 0, 2]) + tcp
+
+    request = b"GET / HTTP/1.1\r\nHost: h\r\n\r\n"
+    rows = [(None, 0, 0, packet(1, 1, data[:400])), (None, 1, 2, packet(1, 801, data[800:])), ("f", 2, 1, packet(1, 401, data[400:800])), (None, 3, 0, packet(1, 99, b"")), (None, 4, 30, packet(1, 9, request)), ("f", 5, 0, packet(2, 1, data))]
+    df = spark.createDataFrame([(f, n, t, 0, 1, d) for f, n, t, d in rows], "file string, pkt_no long, ts_sec long, ts_nanos int, linktype int, data binary")
+    out = parse_reassembled(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("Scan") == 1
+    got = {r.pkt_no: (r.file, r.msg_type, r.truncated, r.reassembly) for r in out.collect()}
+    assert got == {0: (None, "tls_client_hello", False, "reassembled"), 4: (None, "http_request", None, "none"), 5: ("f", "tls_client_hello", False, "none")}
