@@ -87,8 +87,7 @@ def text_or_empty(col: str = "text") -> Column:
 
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text, as an array; none for null."""
-    blanks = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.array_remove(F.split(blanks, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \x09-\x0D]"), "")
 
 
 def cluster_partitions(spark: SparkSession) -> int:

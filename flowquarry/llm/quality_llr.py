@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.llm.common import let, words_of, written
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 #: Most buckets of a literal, of a session variable, and of broadcast weights, and the buckets of a broadcast row.
 LITERAL, VARIABLE, BROADCAST, BLOCK = 1 << 16, 1 << 23, 1 << 24, 1 << 12
@@ -266,14 +266,15 @@ def _with_scores(rows: DataFrame, docs: DataFrame, model: LlrModel, text_col: st
 def features(text: Column, model: LlrModel, config: QualityConfig = QualityConfig()) -> Column:
     """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed and kept."""
     plain = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(plain, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
+    lines = F.filter(F.split(plain, "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]"))
     dup_lines = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
-    def by_hash(h: Column) -> Column:
+    def by_words(words: Column, h: Column) -> Column:
         return let(
             _bigrams(h),
             lambda b: F.struct(
                 F.size(h).cast("long").alias("n_words"),
+                F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
                 repeated_words(b).alias("n_repeat_words"),
                 (mean_log_ratio(h, b, model) if model.table is None else F.lit(0.0)).alias("score"),
             ),
@@ -283,8 +284,8 @@ def features(text: Column, model: LlrModel, config: QualityConfig = QualityConfi
         failed = (x["n_words"] < config.min_words) | (100 * x["n_repeat_words"] > config.max_repeat_percent * x["n_words"])
         return F.struct(
             x["n_words"].alias("n_words"),
-            F.length(F.translate(plain, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-            (F.length(plain) - F.length(F.translate(plain, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            x["word_chars"].alias("word_chars"),
+            F.regexp_count(plain, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             dup_lines.alias("n_dup_lines"),
             x["n_repeat_words"].alias("n_repeat_words"),
             x["score"].alias("score"),
@@ -292,7 +293,7 @@ def features(text: Column, model: LlrModel, config: QualityConfig = QualityConfi
             (~failed & (x["score"] >= F.lit(model.threshold))).alias("kept"),
         )
 
-    return let(let(_hashes(words_of(text)), by_hash), verdict)
+    return let(let(words_of(text), lambda words: let(_hashes(words), lambda h: by_words(words, h))), verdict)
 
 
 def score(docs: DataFrame, model: LlrModel, config: QualityConfig = QualityConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

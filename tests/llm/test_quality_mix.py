@@ -150,3 +150,13 @@ def test_mix_with_clashing_and_counted_columns(spark):
     assert all(r.mixing.n_tokens == (r.tokens or 0) and r.mixing.topic == r.topic for r in mixed) and len(mixed) == 40
     sample = raking.sample_mix(df)
     assert sample.columns == df.columns and {r.mixing for r in sample.collect()} == {"m"}
+
+
+def test_base_features_without_a_walk_over_every_character(spark):
+    """Blanks, symbols and lines of odd texts; translate, which looks up each character, is in no expression."""
+    texts = [None, "", " \n\x0b", "a\x1cb c\u3000d\x85e", "\U0001f600 b\n\U0001f600 b\n", "a\r\nb\r\na\r\n", "\x0b\x0c|\n\x0b\n \n|\n|", "#a*$%&|<>\\d+"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = quality_llr.score(df, quality_llr.LlrModel((0.0,), -0.15))
+    assert "translate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out.collect()}
+    assert got == {i: base(x) for i, x in enumerate(texts)}
